@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four ASCII separators, as a Python strip() sees it.
-_SPACE = r"(?U)[\s\x1c-\x1f]"
-_EDGES = rf"^(?:{_SPACE})+|(?:{_SPACE})+$"
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
+    "           "
+    "    　"
+)
 
 
 def _col(c: Column | str) -> Column:
@@ -15,13 +18,13 @@ def _col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove white space of any kind at both ends (`trim` removes blanks only)."""
-    return F.regexp_replace(_col(c), _EDGES, "")
+    """Remove white space of any kind at both ends (plain `trim` removes blanks only)."""
+    return F.trim(_col(c), F.lit(WHITE_SPACE))
 
 
 def is_blank(c: Column | str) -> Column:
-    """True where nothing but white space is left."""
-    return strip(c) == F.lit("")
+    """True where there is nothing but white space."""
+    return strip(c) == ""
 
 
 def canon_router_id(c: Column | str) -> Column:

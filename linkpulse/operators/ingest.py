@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,38 +43,25 @@ def parse_lines(raw: DataFrame) -> DataFrame:
     NULL for a JSON object. Blank lines are dropped: they are read, but no error.
     """
     raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    lines = raw.withColumn("value", F.make_valid_utf8("value")).filter(~is_blank("value"))
-    parsed = lines.withColumn("doc", _parse(F.col("value")))
-    whole = (F.try_variant_get("doc", "$[1]", "string") == _END) & F.try_variant_get(
-        "doc", "$[2]", "variant"
-    ).isNull()
-    shape = F.schema_of_variant(F.try_variant_get("doc", "$[0]", "variant"))
-    retried = _parse(F.regexp_replace("value", _NON_FINITE_TOKEN, "$1null"))
+    lines = raw.withColumn("value", F.make_valid_utf8("value"))
+    lines = lines.filter(~is_blank("value")).withColumn("text", strip("value"))
+    parsed = lines.withColumn("doc", _parse(F.col("text")))
+    whole = F.coalesce(F.try_variant_get("doc", "$[1]", "string") == _END, F.lit(False))
+    retried = _parse(F.regexp_replace("text", _NON_FINITE_TOKEN, "$1null"))
     return parsed.withColumn(
         "parse_reason",
-        F.when(
-            F.coalesce(whole, F.lit(False)),
-            F.when(~shape.startswith("OBJECT"), F.lit(NOT_OBJECT)),
-        )
-        .when(F.col("value").rlike(_NON_FINITE_TOKEN) & retried.isNotNull(), F.lit(NON_FINITE))
+        # A whole JSON value that starts with a brace is an object.
+        F.when(whole, F.when(~F.col("text").startswith("{"), F.lit(NOT_OBJECT)))
+        .when(F.col("text").rlike(_NON_FINITE_TOKEN) & retried.isNotNull(), F.lit(NON_FINITE))
         .otherwise(F.lit(BAD_JSON)),
-    )
-
-
-def _field(name: str) -> Column:
-    """One member of the parsed object; NULL if absent, variant null if null."""
-    return F.try_variant_get("doc", f"$[0].{name}", "variant")
-
-
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+    ).drop("text")
 
 
 def _text_rule(name: str) -> Column:
-    v, text = F.col(f"v_{name}"), F.col(f"s_{name}")
+    kind, text = F.col(f"kind_{name}"), F.col(name)
     rule = (
-        F.when(v.isNull(), F.lit(f"{name}: missing"))
-        .when(_kind(v) != "STRING", F.lit(f"{name}: not_a_string"))
+        F.when(kind.isNull(), F.lit(f"{name}: missing"))
+        .when(kind != "STRING", F.lit(f"{name}: not_a_string"))
         .when(text == "", F.lit(f"{name}: blank"))
     )
     if name == "router_id":
@@ -81,19 +69,32 @@ def _text_rule(name: str) -> Column:
     return rule
 
 
+def _number(name: str) -> Column:
+    """The field as a double. Text must spell a number; text for NaN gives NaN."""
+    v = F.col(f"m.{name}")
+    text = F.try_variant_get(v, "$", "string")
+    spelled = F.when(text.rlike(_NUMBER_TEXT), text.try_cast("double")).when(
+        text.rlike(_NON_FINITE_TEXT), F.lit(float("nan"))
+    )
+    return F.when(F.col(f"kind_{name}") == "STRING", spelled).otherwise(
+        F.try_variant_get(v, "$", "double")
+    )
+
+
 def _number_rule(name: str) -> Column:
-    v, x, text = F.col(f"v_{name}"), F.col(f"s_{name}"), F.col(f"t_{name}")
-    rule = (
-        F.when(v.isNull(), F.lit(f"{name}: missing"))
-        .when(text.rlike(_NON_FINITE_TEXT), F.lit(f"{name}: {NON_FINITE}"))
-        .when(~text.rlike(_NUMBER_TEXT), F.lit(f"{name}: not_a_number"))
+    x = F.col(name)
+    percent = name in PERCENT_METRICS
+    top = 100.0 if percent else sys.float_info.max
+    broken = (
+        F.when(F.col(f"kind_{name}").isNull(), F.lit(f"{name}: missing"))
         .when(x.isNull(), F.lit(f"{name}: not_a_number"))
         .when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(f"{name}: {NON_FINITE}"))
         .when(x < 0, F.lit(f"{name}: below_minimum"))
     )
-    if name in PERCENT_METRICS:
-        rule = rule.when(x > 100, F.lit(f"{name}: above_maximum"))
-    return rule
+    if percent:
+        broken = broken.otherwise(F.lit(f"{name}: above_maximum"))
+    # NaN is above every number, so the range test alone finds the good values.
+    return F.when(~F.coalesce(x.between(0.0, top), F.lit(False)), broken)
 
 
 def label(parsed: DataFrame) -> DataFrame:
@@ -101,49 +102,54 @@ def label(parsed: DataFrame) -> DataFrame:
 
     Adds `RECORD_FIELDS`, `event_time` and `reject_reason` (NULL for a valid record).
     Numbers may come as numeric text or booleans; text fields must be text.
+
+    Each step builds on columns of the one before, so that every field is taken out
+    of the document and inspected once. The last step hands the columns on through a
+    one-row `inline`: a filter on the verdict then stays above it instead of being
+    pushed below, where the whole evaluation would run a second time.
     """
     keep = [c for c in parsed.columns if c not in ("doc", "parse_reason")]
-    # The casts read the variant columns of the inner projection, so each member is
-    # looked up once however many rules ask for it.
+    shape = "struct<" + ",".join(f"{f}:variant" for f in RECORD_FIELDS) + ">"
     members = parsed.select(
-        *keep, "parse_reason", *[_field(f).alias(f"v_{f}") for f in RECORD_FIELDS]
+        *keep, "parse_reason", F.try_variant_get("doc", "$[0]", shape).alias("m")
     )
+    kinds = members.select(
+        "*", *[F.schema_of_variant(F.col(f"m.{f}")).alias(f"kind_{f}") for f in RECORD_FIELDS]
+    )
+
+    def text(f: str) -> Column:
+        return F.try_variant_get(F.col(f"m.{f}"), "$", "string")
 
-    def text_of(f: str) -> Column:
-        return F.try_variant_get(f"v_{f}", "$", "string")
-
-    values = members.select(
-        "*",
-        strip(text_of("timestamp")).alias("s_timestamp"),
-        strip(text_of("router_id")).alias("s_router_id"),
-        *[F.try_variant_get(f"v_{m}", "$", "double").alias(f"s_{m}") for m in METRICS],
-        *[
-            F.when(_kind(F.col(f"v_{m}")) == "STRING", text_of(m)).alias(f"t_{m}")
-            for m in METRICS
-        ],
-        F.when(F.col("v_status").isNull(), F.lit(DEFAULT_STATUS))
-        .otherwise(text_of("status"))
-        .alias("s_status"),
-        text_of("active_fault").alias("s_active_fault"),
+    values = kinds.select(
+        *keep,
+        "parse_reason",
+        *[f"kind_{f}" for f in RECORD_FIELDS],
+        strip(text("timestamp")).alias("timestamp"),
+        strip(text("router_id")).alias("router_id"),
+        *[_number(m).alias(m) for m in METRICS],
+        F.when(F.col("kind_status").isNull(), F.lit(DEFAULT_STATUS))
+        .otherwise(text("status"))
+        .alias("status"),
+        text("active_fault").alias("active_fault"),
     )
-    v_status, v_fault = F.col("v_status"), F.col("v_active_fault")
     reason = F.coalesce(
         F.col("parse_reason"),
         _text_rule("timestamp"),
         _text_rule("router_id"),
         *[_number_rule(m) for m in METRICS],
-        F.when(v_status.isNotNull() & (_kind(v_status) != "STRING"), F.lit("status: not_a_string")),
+        F.when(F.col("kind_status") != "STRING", F.lit("status: not_a_string")),
         F.when(
-            v_fault.isNotNull() & ~_kind(v_fault).isin("STRING", "VOID"),
+            ~F.col("kind_active_fault").isin("STRING", "VOID"),
             F.lit("active_fault: not_a_string"),
         ),
     )
-    return values.select(
+    row = F.struct(
         *keep,
-        *[F.col(f"s_{f}").alias(f) for f in RECORD_FIELDS],
-        parse_time(F.col("s_timestamp")).alias("event_time"),
+        *RECORD_FIELDS,
+        parse_time("timestamp").alias("event_time"),
         reason.alias("reject_reason"),
     )
+    return values.select(F.inline(F.array(row)))
 
 
 def accepted(labelled: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def natural_rank(df: DataFrame) -> DataFrame:
     return (
         ids.withColumn("within", within)
         .join(offsets, list(block))
-        .select("router_id", (F.col("offset") + F.col("within")).alias("natural_rank"))
+        .select("router_id", (F.col("offset") + F.col("within")).cast("bigint").alias("natural_rank"))
     )
 
 

@@ -124,7 +124,7 @@ def newest_per_router(df: DataFrame, n: int, shards: int = 64) -> DataFrame:
         .filter(F.col("rank") <= n)
         .drop("rank", "shard")
     )
-    return survivors.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= n)
+    return survivors.withColumn("rank", F.row_number().over(whole).cast("bigint")).filter(F.col("rank") <= n)
 
 
 def history_per_router(df: DataFrame, n: int | None = None) -> DataFrame:

@@ -292,7 +292,7 @@ LEFT JOIN states s ON reg.router_id = s.router_id""",
 FROM (SELECT DISTINCT router_id FROM t)"""
         ),
         "fault_badges": _with(
-            "SELECT count(*) AS routers, count_if(status = 'FAULTED') AS faulted FROM states", _STATES
+            "SELECT count(*) AS routers, CAST(count_if(status = 'FAULTED') AS BIGINT) AS faulted FROM states", _STATES
         ),
         "fault_schedule_clean": _with(
             "SELECT seq, router_id, started_at, duration_s, fault_type, intensity FROM sched", _SCHED

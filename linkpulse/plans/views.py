@@ -99,23 +99,24 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines of all records; eight in fifty are dirty, each in its own way."""
     t = telemetry(spark, sf_dir)
     m = F.col("id") % 50
-
-    def text(**changes: Column) -> Column:
-        fields = [changes.get(f, F.col(f)).alias(f) for f in RECORD_FIELDS if changes.get(f, 0) is not None]
-        return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-
-    good = text()
+    dirty = t.withColumns(
+        {
+            "latency": F.when(m == 2, -(F.col("latency") + 1)).otherwise(F.col("latency")),
+            "packet_loss": F.when(m == 3, F.lit(105.0)).otherwise(F.col("packet_loss")),
+            "router_id": F.when(m == 4, F.lit("   ")).otherwise(F.col("router_id")),
+        }
+    )
+    json = F.to_json(F.struct(*RECORD_FIELDS), {"ignoreNullFields": "false"})
+    good = F.col("good")
     line = (
         F.when(m == 0, F.substring(good, 1, 40))
         .when(m == 1, F.lit("  \t "))
-        .when(m == 2, text(latency=-(F.col("latency") + 1)))
-        .when(m == 3, text(packet_loss=F.lit(105.0)))
-        .when(m == 4, text(router_id=F.lit("   ")))
-        .when(m == 5, text(cpu_usage=None))
-        .when(m == 6, text(latency=F.col("latency").cast("string")))
+        .when(m == 5, F.regexp_replace(good, '"cpu_usage":[^,]*,', ""))
+        .when(m == 6, F.regexp_replace(good, '"latency":([^,]*),', '"latency":"$1",'))
         .when(m == 7, F.concat(F.lit("["), good, F.lit("]")))
         .otherwise(good)
     )
+    t = dirty.withColumn("good", json)
     return t.select(
         line.alias("value"),
         F.lit("events").alias("src_file"),
