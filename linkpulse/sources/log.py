@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import is_blank, round_dp
 from ..operators.ingest import BAD_JSON, parse_lines
 from ..schema import RECORD_FIELDS, RECORD_SCHEMA
+from .jsonl_tail import register_jsonl_tail
+from .paths import exists
 
 
 def _with_position(lines: DataFrame) -> DataFrame:
@@ -28,29 +29,40 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return _with_position(spark.read.text(path))
 
 
-def log_exists(spark: SparkSession, path: str) -> bool:
-    """True if the log is there to be read."""
-    try:
-        spark.read.text(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
-
-
-def stream_log(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """New part files of a log folder as a stream.
+def stream_log(
+    spark: SparkSession, path: str, max_files: int | None = None
+) -> DataFrame | None:
+    """New part files of a log folder as a stream; None while there is no such folder.
 
     For finished part files only: a file that still grows is read once and never
-    again. Use the `jsonl_tail` source for those.
+    again. Use `tail_log` for those.
     """
+    if not exists(spark, path):
+        return None
     reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _with_position(reader.text(path))
 
 
+def tail_log(
+    spark: SparkSession,
+    path: str,
+    split_bytes: int | None = None,
+    max_bytes_per_batch: int | None = None,
+) -> DataFrame | None:
+    """One growing log file as a stream; None while there is no such file."""
+    if not exists(spark, path):
+        return None
+    register_jsonl_tail(spark)
+    reader = spark.readStream.format("jsonl_tail").option("path", path)
+    if split_bytes:
+        reader = reader.option("splitBytes", split_bytes)
+    if max_bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_batch)
+    return reader.load()
+
+
 def log_tail(raw: DataFrame, n: int = 50) -> DataFrame:
     """The last `n` lines that hold JSON, in file order."""
     parsable = parse_lines(raw).filter(
