@@ -21,6 +21,7 @@ from ..schema import (
 BAD_JSON = "JSONDecodeError"
 NOT_OBJECT = "not_object"
 NON_FINITE = "non_finite"
+BLANK = "blank"
 
 # Marks the end of a line inside the parsed array, so that text after the JSON
 # value cannot go unnoticed (the variant parser stops at the end of a value).
@@ -36,22 +37,26 @@ def _parse(text: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
 
 
-def parse_lines(raw: DataFrame) -> DataFrame:
+def parse_lines(raw: DataFrame, keep_blank: bool = False) -> DataFrame:
     """Parse each non-blank line.
 
     Adds `doc` (a VARIANT holding `[value, end mark]`) and `parse_reason`, which is
-    NULL for a JSON object. Blank lines are dropped: they are read, but no error.
+    NULL for a JSON object. Blank lines are no error: they are dropped, or kept with
+    the reason `blank` for callers that count what was read.
     """
     raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     lines = raw.withColumn("value", F.make_valid_utf8("value"))
-    lines = lines.filter(~is_blank("value")).withColumn("text", strip("value"))
+    if not keep_blank:
+        lines = lines.filter(~is_blank("value"))
+    lines = lines.withColumn("text", strip("value"))
     parsed = lines.withColumn("doc", _parse(F.col("text")))
     whole = F.coalesce(F.try_variant_get("doc", "$[1]", "string") == _END, F.lit(False))
     retried = _parse(F.regexp_replace("text", _NON_FINITE_TOKEN, "$1null"))
     return parsed.withColumn(
         "parse_reason",
         # A whole JSON value that starts with a brace is an object.
-        F.when(whole, F.when(~F.col("text").startswith("{"), F.lit(NOT_OBJECT)))
+        F.when(F.col("text") == "", F.lit(BLANK))
+        .when(whole, F.when(~F.col("text").startswith("{"), F.lit(NOT_OBJECT)))
         .when(F.col("text").rlike(_NON_FINITE_TOKEN) & retried.isNotNull(), F.lit(NON_FINITE))
         .otherwise(F.lit(BAD_JSON)),
     ).drop("text")
@@ -157,9 +162,14 @@ def accepted(labelled: DataFrame) -> DataFrame:
     return labelled.filter(F.col("reject_reason").isNull()).drop("reject_reason", "value")
 
 
+def is_rejected() -> Column:
+    """True for a line that counts as an error."""
+    return F.col("reject_reason").isNotNull() & (F.col("reject_reason") != BLANK)
+
+
 def rejected(labelled: DataFrame) -> DataFrame:
     """The rejected lines with their reason."""
-    return labelled.filter(F.col("reject_reason").isNotNull()).select(
+    return labelled.filter(is_rejected()).select(
         "value", "src_file", "src_pos", "reject_reason"
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import is_blank, round_dp
@@ -12,21 +12,25 @@ from .jsonl_tail import register_jsonl_tail
 from .paths import exists
 
 
-def _with_position(lines: DataFrame) -> DataFrame:
-    """Name each line's file and place: split start, then row within the task."""
+def _with_position(lines: DataFrame, row: Column) -> DataFrame:
+    """Name each line's file and place: start of its block of the file, and row."""
+    block = F.col("_metadata.file_block_start").alias("block")
     return lines.select(
         F.col("value"),
         F.col("_metadata.file_path").alias("src_file"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("src_pos"),
+        F.struct(block, row.alias("row")).alias("src_pos"),
     )
 
 
+def number_rows(lines: DataFrame) -> DataFrame:
+    """Fill in the row numbers that a stream of part files cannot give itself."""
+    row = F.coalesce("src_pos.row", F.monotonically_increasing_id())
+    return lines.withColumn("src_pos", F.struct(F.col("src_pos.block"), row.alias("row")))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """All lines of a log: `(value, src_file, src_pos)`. Large files are split."""
-    return _with_position(spark.read.text(path))
+    return _with_position(spark.read.text(path), F.monotonically_increasing_id())
 
 
 def stream_log(
@@ -42,7 +46,7 @@ def stream_log(
     reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _with_position(reader.text(path))
+    return _with_position(reader.text(path), F.lit(None).cast("bigint"))
 
 
 def tail_log(

@@ -7,14 +7,23 @@ and the ledger row go to a folder of their own per batch, which is overwritten.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import accepted, label, parse_lines, rejected, strict_times
+from ..operators.ingest import (
+    accepted,
+    is_rejected,
+    label,
+    parse_lines,
+    rejected,
+    strict_times,
+)
 from ..operators.ledger import ingest_status
 from ..schema import LEDGER_SCHEMA
 from ..session import require_utc
+from ..sources.log import number_rows
 from ..sources.paths import exists
 from ..sources.table import append_new, read_telemetry, table_metadata
 
@@ -73,46 +82,42 @@ class IngestSink:
         spark = lines.sparkSession
         run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
         ingest_id = f"{run}/{batch_id}"
-        resumed = self.next_id is None
-        if resumed:
+        if self.next_id is None:
             self.next_id = self._first_free_id(spark, ingest_id)
 
-        read = Observation()
-        labelled = label(parse_lines(lines.observe(read, F.count("*").alias("n"))))
+        labelled = label(parse_lines(number_rows(lines), keep_blank=True))
         if self.strict:
             labelled = strict_times(labelled)
         labelled = labelled.persist()
         try:
             facts = self._facts(labelled)
-            new = 0
-            if facts["lines"] > facts["errors"]:
+            inserted = 0
+            if facts["valid"]:
                 valid = with_arrival_id(accepted(labelled), self.next_id).persist()
                 try:
-                    top = valid.agg(F.max("id")).first()[0]
-                    new = append_new(valid, self.table, ingest_id, self.key)
-                    self.next_id = top + 1
+                    last_id = valid.agg(F.max("id")).first()[0]
+                    inserted = append_new(valid, self.table, ingest_id, self.key)
+                    self.next_id = last_id + 1
                 finally:
                     valid.unpersist()
             if self.rejects and facts["errors"]:
                 out = rejected(labelled).withColumn("ingest_id", F.lit(ingest_id))
                 out.write.mode("overwrite").parquet(f"{self.rejects}/run={run}/batch={batch_id}")
             if self.ledger:
-                if resumed:
-                    # An earlier try of this batch may have stored records already.
-                    new = self._stored(spark, ingest_id)
-                self._record(spark, run, batch_id, ingest_id, read.get["n"], new, facts)
+                self._record(spark, run, batch_id, ingest_id, inserted, facts)
         finally:
             labelled.unpersist()
 
     @staticmethod
     def _facts(labelled: DataFrame) -> dict:
         place = F.struct("src_file", "src_pos")
-        bad = F.col("reject_reason").isNotNull()
+        valid = F.col("reject_reason").isNull()
         row = labelled.agg(
-            F.count("*").alias("lines"),
-            F.count_if(bad).alias("errors"),
-            F.max_by("reject_reason", F.when(bad, place)).alias("last_error"),
-            F.max_by("timestamp", F.when(~bad, place)).alias("last_imported_timestamp"),
+            F.count("*").alias("lines_read"),
+            F.count_if(valid).alias("valid"),
+            F.count_if(is_rejected()).alias("errors"),
+            F.max_by("reject_reason", F.when(is_rejected(), place)).alias("last_error"),
+            F.max_by("timestamp", F.when(valid, place)).alias("last_imported_timestamp"),
         ).first()
         return row.asDict()
 
@@ -121,12 +126,9 @@ class IngestSink:
         others = read_telemetry(spark, self.table).filter(F.col("ingest_id") != ingest_id)
         return (others.agg(F.max("id")).first()[0] or 0) + 1
 
-    def _stored(self, spark: SparkSession, ingest_id: str) -> int:
-        return read_telemetry(spark, self.table).filter(F.col("ingest_id") == ingest_id).count()
-
-    def _record(self, spark, run, batch_id, ingest_id, lines_read, inserted, facts) -> None:
+    def _record(self, spark, run, batch_id, ingest_id, inserted, facts) -> None:
         values = [
-            (ingest_id, batch_id, lines_read, inserted, facts["errors"], None,
+            (ingest_id, batch_id, facts["lines_read"], inserted, facts["errors"], None,
              facts["last_error"], facts["last_imported_timestamp"])
         ]
         row = spark.createDataFrame(values, LEDGER_SCHEMA)
@@ -148,26 +150,35 @@ def start_ingest(
     return ingest_writer(lines, sink, checkpoint).trigger(processingTime=poll).start()
 
 
-def ingest_once(lines: DataFrame | None, sink: IngestSink, checkpoint: str) -> dict:
-    """One cycle: take in all that is there, then report on it.
+def ingest_once(
+    lines: DataFrame | None, sink: IngestSink, checkpoint: str, repeat: bool = False
+) -> dict:
+    """One cycle: take in what is there, then report on it.
 
-    `lines` None stands for a log that does not exist yet.
+    `lines` None stands for a log that does not exist yet. A tail with bounded batches
+    takes one batch per run; `repeat` runs again until nothing is left.
     """
     if lines is None:
         return cycle_status(None)
-    query = ingest_writer(lines, sink, checkpoint).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    except Exception as e:  # reported like any other outcome of a cycle
-        return {**cycle_status(None), "status": "error", "file_exists": True, "error": str(e)}
-    report = cycle_status(query.recentProgress)
-    if report["lines_read"] and sink.ledger:
-        done = {p["batchId"] for p in query.recentProgress if p["numInputRows"]}
-        ids = [f"{query.id}/{b}" for b in done]
-        totals = read_ledger(lines.sparkSession, sink.ledger).filter(F.col("ingest_id").isin(ids))
-        row = totals.agg(F.sum("lines_read"), F.sum("inserted"), F.sum("errors")).first()
-        if row[0] is not None:
-            report.update(lines_read=row[0], records_inserted=row[1], errors=row[2])
+    progress, done = [], []
+    while True:
+        query = ingest_writer(lines, sink, checkpoint).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+        except StreamingQueryException as e:  # an outcome of a cycle like any other
+            return {**cycle_status(progress), "status": "error", "error": str(e)}
+        steps = [p for p in query.recentProgress if p["numInputRows"] > 0]
+        progress += steps
+        done += [f"{query.id}/{p['batchId']}" for p in steps]
+        if not (repeat and steps):
+            break
+    report = cycle_status(progress)
+    if done and sink.ledger:
+        ledger = read_ledger(lines.sparkSession, sink.ledger)
+        row = ledger.filter(F.col("ingest_id").isin(done)).agg(
+            F.sum("lines_read"), F.sum("inserted"), F.sum("errors")
+        ).first()
+        report.update(lines_read=row[0], records_inserted=row[1], errors=row[2])
     return report
 
 
@@ -175,7 +186,7 @@ def cycle_status(progress: list | None) -> dict:
     """What a cycle came to: `waiting_for_file`, `up_to_date` or `success`."""
     report = {"status": "waiting_for_file", "file_exists": False}
     if progress is not None:
-        rows = sum(max(0, p["numInputRows"]) for p in progress)
+        rows = sum(p["numInputRows"] for p in progress)
         report = {"status": "success" if rows else "up_to_date", "file_exists": True}
         report["lines_read"] = rows
     return {"lines_read": 0, "records_inserted": 0, "errors": 0, **report}
