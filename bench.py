@@ -22,7 +22,7 @@ from linkpulse.session import configure  # noqa: E402
 HEADLINE = (
     "router_states", "latest_n", "recent_window", "router_history", "history_per_router",
     "summary", "metric_stats", "status_distribution", "fault_distribution", "stats_document",
-    "router_stats_rollup", "registry_view", "ingest_valid", "reject_reason_counts",
+    "router_stats_rollup", "registry_view", "ingest_valid",
     "dedup_first_arrival", "insert_or_ignore", "fault_asof", "fault_overlay", "fault_episodes",
     "classify_fault", "alerts", "kpis", "risk", "link_status", "perf_series_hourly",
     "perf_series_sliding",

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import is_blank, iso_text, parse_time, round_dp, strip
+from ..functions import iso_text, parse_time, round_dp, strip
 from ..schema import (
     CANONICAL_DIGITS,
     DEFAULT_STATUS,
@@ -37,17 +37,16 @@ def _parse(text: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
 
 
-def parse_lines(raw: DataFrame, keep_blank: bool = False) -> DataFrame:
-    """Parse each non-blank line.
+def parse_lines(raw: DataFrame) -> DataFrame:
+    """Parse each line.
 
     Adds `doc` (a VARIANT holding `[value, end mark]`) and `parse_reason`, which is
-    NULL for a JSON object. Blank lines are no error: they are dropped, or kept with
-    the reason `blank` for callers that count what was read.
+    NULL for a JSON object. Blank lines get the reason `blank`; they were read, but
+    are no error. They are not filtered out here: the filter would be pushed below
+    whatever makes the lines and have it done twice.
     """
     raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     lines = raw.withColumn("value", F.make_valid_utf8("value"))
-    if not keep_blank:
-        lines = lines.filter(~is_blank("value"))
     lines = lines.withColumn("text", strip("value"))
     parsed = lines.withColumn("doc", _parse(F.col("text")))
     whole = F.coalesce(F.try_variant_get("doc", "$[1]", "string") == _END, F.lit(False))

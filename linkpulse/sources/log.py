@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import is_blank, round_dp
-from ..operators.ingest import BAD_JSON, parse_lines
+from ..operators.ingest import BAD_JSON, BLANK, parse_lines
 from ..schema import RECORD_FIELDS, RECORD_SCHEMA
 from .jsonl_tail import register_jsonl_tail
 from .paths import exists
@@ -70,7 +70,7 @@ def tail_log(
 def log_tail(raw: DataFrame, n: int = 50) -> DataFrame:
     """The last `n` lines that hold JSON, in file order."""
     parsable = parse_lines(raw).filter(
-        F.col("parse_reason").isNull() | (F.col("parse_reason") != BAD_JSON)
+        F.col("parse_reason").isNull() | ~F.col("parse_reason").isin(BAD_JSON, BLANK)
     )
     last = parsable.select("value", "src_file", "src_pos").orderBy(
         F.col("src_file").desc(), F.col("src_pos").desc()

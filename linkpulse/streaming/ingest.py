@@ -85,7 +85,7 @@ class IngestSink:
         if self.next_id is None:
             self.next_id = self._first_free_id(spark, ingest_id)
 
-        labelled = label(parse_lines(number_rows(lines), keep_blank=True))
+        labelled = label(parse_lines(number_rows(lines)))
         if self.strict:
             labelled = strict_times(labelled)
         labelled = labelled.persist()

@@ -41,7 +41,10 @@ def test_malformed_json(spark):
 
 
 def test_blank_lines_are_no_errors(spark):
-    assert verdicts(spark, ["", "  ", "\t\r", " ", line()]) == [None]
+    lines = ["", "  ", "\t\r", "\u00a0\u2003", line()]
+    assert verdicts(spark, lines) == ["blank"] * 4 + [None]
+    valid, rejects = validate(parse_lines(raw(spark, lines)))
+    assert valid.count() == 1 and rejects.count() == 0
 
 
 def test_space_around_the_line(spark):
