@@ -65,7 +65,27 @@ broken AS (
   WHERE value > most)
 """
 
+NEAR_CTES = rf"""
+p AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACES}') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT r, doc_id, unnest(CASE WHEN len(ws) >= 2
+    THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS s FROM p),
+size AS (SELECT r, doc_id, count(*) AS n FROM sh GROUP BY ALL),
+pair AS (SELECT a.r AS ra, b.r AS rb, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.r < b.r GROUP BY ALL),
+link AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM pair JOIN size x ON x.r = ra JOIN size y ON y.r = rb
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+step AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a, b FROM step UNION SELECT reach.a, step.b FROM reach JOIN step ON reach.b = step.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+"""
+
 ORACLES = {
+    "op3_near_duplicates": f"""WITH RECURSIVE {NEAR_CTES}
+SELECT p.doc_id, coalesce(n, 0) AS n_shingles, least(p.doc_id, coalesce(m, p.doc_id)) AS component_id,
+  p.doc_id = least(p.doc_id, coalesce(m, p.doc_id)) AS kept
+FROM p LEFT JOIN size USING (r) LEFT JOIN least ON least.a = p.doc_id""",
     "op10_quality_rules": f"""WITH {QUALITY_CTES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, symbol_rate, upper_rate, dup_line_rate,
   repeat_rate, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM broken) AS kept FROM m""",

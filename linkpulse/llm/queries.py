@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_dedup
 from . import quality_rules as rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, over sets of two-word shingles."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, measures and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -21,7 +27,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {"op10_quality_rules": op10_quality_rules}
+    return {"op3_near_duplicates": op3_near_duplicates, "op10_quality_rules": op10_quality_rules}
 
 
 def llm_oracles() -> dict[str, str]:
