@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import mixing, near_dedup
 from . import quality_rules as rules
 from .common import table
 
@@ -19,6 +19,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of sources takes of every document."""
+    return mixing.mix_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, measures and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -27,7 +32,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {"op3_near_duplicates": op3_near_duplicates, "op10_quality_rules": op10_quality_rules}
+    return {"op3_near_duplicates": op3_near_duplicates, "op8_mixing": op8_mixing, "op10_quality_rules": op10_quality_rules}
 
 
 def llm_oracles() -> dict[str, str]:
