@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup
+from . import mixing, near_dedup, packing
 from . import quality_rules as rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token sequences of at most 2048."""
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, over sets of two-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
@@ -32,7 +37,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {"op3_near_duplicates": op3_near_duplicates, "op8_mixing": op8_mixing, "op10_quality_rules": op10_quality_rules}
+    return {"op2_packing": op2_packing, "op3_near_duplicates": op3_near_duplicates, "op8_mixing": op8_mixing, "op10_quality_rules": op10_quality_rules}
 
 
 def llm_oracles() -> dict[str, str]:
