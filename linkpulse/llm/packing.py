@@ -106,8 +106,9 @@ def _packer(capacity: int, path: str, run: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    all_ids = bpe.encode(text) + end
+                encoded = bpe.encode_many(part.column(1).to_pylist())
+                for doc, own in zip(part.column(0).to_pylist(), encoded, strict=True):
+                    all_ids = own + end
                     held += len(all_ids)
                     n = len(all_ids) // 4
                     first = (n - 1) % capacity + 1

@@ -1,23 +1,20 @@
-"""Token ids of the public byte-level tokenizer, fast on words that come back.
+"""Token ids of the public byte-level tokenizer.
 
-A text whose white space is single spaces between other characters splits, at each of them, into units that the
-tokenizer cuts apart anyway (a piece begins at a space and never ends in one). So a unit's ids do not depend on its
-neighbours, and units seen before are looked up. Other texts, and texts that spell a special token, go through the tokenizers
-library whole. Both ways give the ids of `tokenizers` with add_special_tokens=False.
+tiktoken encodes with the same vocabulary and cuts as the tokenizers library, at about six times its speed; texts that spell
+a special token go through the tokenizers library. Both give the ids of `tokenizers` with add_special_tokens=False.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-import re
+from array import array
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
 
-#: Entries of the lookup table of a Python worker; it starts anew beyond that. Results do not depend on it.
-CACHE_UNITS = 250_000
-_ODD = re.compile(r"\s\s|\A\s|\s\Z|<\|endoftext\|>")
+SPECIAL = "<|endoftext|>"
 
 
 def default_path() -> str:
@@ -33,22 +30,15 @@ class ByteBpe:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._path, self._load, self._whole = path, Tokenizer.from_file, None
-        self._fast = self._ranks(path)
-        self._units: dict[str, bytes] = {}
-
-    @staticmethod
-    def _ranks(path: str):
-        """The same vocabulary for tiktoken, if it lies beside the JSON file."""
+        self._path, self._load, self._whole, self._fast = path, Tokenizer.from_file, None, None
         beside = os.path.splitext(path)[0] + ".tiktoken"
-        if not os.path.exists(beside):
-            return None
-        import public_tokenizers
-        import tiktoken
+        if os.path.exists(beside):
+            import public_tokenizers
+            import tiktoken
 
-        with open(beside, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            with open(beside, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self._fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         """Ids of a text by the tokenizers library."""
@@ -56,27 +46,13 @@ class ByteBpe:
             self._whole = self._load(self._path)
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _unit(self, unit: str) -> bytes:
-        return np.array(self._fast.encode_ordinary(unit), "<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
-        if self._fast is None or "<|endoftext|>" in text:
+        if self._fast is None or SPECIAL in text:
             return self.whole(text)
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self._unit(text)
-        head, *units = text.split(" ")
-        known = self._units
-        if len(known) > CACHE_UNITS:
-            known.clear()
-        out = [self._unit(head)]
-        for u in units:
-            got = known.get(u)
-            if got is None:
-                got = known[u] = self._unit(" " + u)
-            out.append(got)
-        return b"".join(out)
+        return array("I", self._fast.encode_ordinary(text)).tobytes()
+
+    def encode_many(self, texts: Sequence[str]) -> list[bytes]:
+        return [self.encode(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
