@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, packing
+from . import mixing, near_dedup, packing, repeats
 from . import quality_rules as rules
 from .common import table
 
@@ -24,6 +24,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 200 bytes that occur twice."""
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of sources takes of every document."""
     return mixing.mix_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -37,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op3_near_duplicates": op3_near_duplicates, "op8_mixing": op8_mixing, "op10_quality_rules": op10_quality_rules}
+    return {"op2_packing": op2_packing, "op3_near_duplicates": op3_near_duplicates, "op7_repeats": op7_repeats, "op8_mixing": op8_mixing, "op10_quality_rules": op10_quality_rules}
 
 
 def llm_oracles() -> dict[str, str]:
