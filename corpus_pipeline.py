@@ -1,13 +1,15 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes `(spark, docs, sf_dir)`, works on all that its predecessor kept, and returns a DataFrame that is
-written as Parquet and read back for the next one.
+written as Parquet and read back for the next one. All but the last return the columns of `documents`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkpulse.llm import mixing, near_dedup, packing, repeats
+from linkpulse.llm.common import stored, table
 from linkpulse.llm.quality_rules import keep_good
 
 
@@ -16,4 +18,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays."""
+    return near_dedup.keep_one(docs)
+
+
+def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes that occur twice are cut out of the texts."""
+    return repeats.drop_repeats(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mix(docs).drop("__shard")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048."""
+    return packing.digest(packing.pack(docs))
+
+
+STAGES = [
+    ("quality_rules", quality), ("near_duplicates", one_of_each), ("repeats", no_repeats), ("mixing", mixed), ("packing", packed),
+]
+
+#: Suffix matching, hashed permutations and tokenization have no SQL; tests/llm holds the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on `documents`."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -81,7 +81,48 @@ reach AS (SELECT a, b FROM step UNION SELECT reach.a, step.b FROM reach JOIN ste
 least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 """
 
+LICENSE_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def license_sql() -> str:
+    from .licenses import CONTAINMENT, PHRASES, TEMPLATES
+
+    body = LOWER.format("coalesce(text, '')")
+    phrases = ", ".join(f"('{label}', string_split('{p}', ' '))" for p, label in PHRASES.items())
+    templates = ", ".join(f"('{n}', list_distinct(string_split('{t}', ' ')))" for n, t in TEMPLATES.items())
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {body} AS body FROM documents),
+w AS (SELECT r, doc_id, regexp_extract_all(body, '{LICENSE_WORDS}') AS ws FROM d),
+phrase(label, ps) AS (VALUES {phrases}),
+template(name, ts) AS (VALUES {templates}),
+pos AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+place AS (SELECT r, i - 1 AS i, label FROM pos JOIN phrase ON ws[i] = ps[1] AND ws[i:i + len(ps) - 1] = ps),
+base AS (
+  SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels
+  FROM place GROUP BY r),
+line AS (SELECT r, list_distinct(regexp_extract_all(x, '{LICENSE_WORDS}')) AS ws
+  FROM (SELECT r, unnest(string_split(body, chr(10))) AS x FROM d)),
+held AS (SELECT r, name, len(list_intersect(ws, ts)) AS h, len(ts) AS n FROM line JOIN template ON list_has_any(ws, ts)),
+matched AS (
+  SELECT r, list(DISTINCT name) AS labels, max(h / n) AS score FROM held WHERE h * 100 >= {CONTAINMENT} * n GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(matched.labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0)::DOUBLE END AS score
+FROM w LEFT JOIN base USING (r) LEFT JOIN matched USING (r)"""
+
+
 ORACLES = {
+    "op6_licenses": license_sql(),
+    "op9_exact_search": """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
     "op3_near_duplicates": f"""WITH RECURSIVE {NEAR_CTES}
 SELECT p.doc_id, coalesce(n, 0) AS n_shingles, least(p.doc_id, coalesce(m, p.doc_id)) AS component_id,
   p.doc_id = least(p.doc_id, coalesce(m, p.doc_id)) AS kept

@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, packing, repeats
+import corpus_pipeline
+
+from . import exact_search, licenses, mixing, near_dedup, packing, quality_model, repeats, token_rollup, toxicity
 from . import quality_rules as rules
-from .common import table
+from .common import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.score_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token sequences of at most 2048."""
     return packing.digest(packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -24,6 +32,31 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after three batches: all documents, minus exact copies, with repeated lines taken out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rollup = token_rollup.Rollup(spark, new_folder(spark, "rollup"))
+    copies = token_rollup.exact_copies(docs)
+    rollup.commit("0001-insert", token_rollup.upserts(docs))
+    rollup.commit("0002-copies", token_rollup.deletions(copies))
+    revised = token_rollup.without_repeated_lines(docs.join(copies, "doc_id", "left_anti"))
+    rollup.commit("0003-lines", token_rollup.upserts(revised))
+    rollup.commit("0002-copies", token_rollup.deletions(copies))  # comes again: no effect
+    return rollup.totals()
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and grade of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without passages of 200 bytes that occur twice."""
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -34,6 +67,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op9_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    vectors = exact_search.quantized(table(spark, sf_dir, "embeddings"))
+    return exact_search.top_k(vectors.filter(F.col("id") % 50 == 0), vectors)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, measures and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -42,7 +81,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op3_near_duplicates": op3_near_duplicates, "op7_repeats": op7_repeats, "op8_mixing": op8_mixing, "op10_quality_rules": op10_quality_rules}
+    own = (
+        op1_quality_classifier, op2_packing, op3_near_duplicates, op4_token_counts, op5_toxicity, op6_licenses, op7_repeats,
+        op8_mixing, op9_exact_search, op10_quality_rules,
+    )
+    return {q.__name__: q for q in own} | {"pipeline": corpus_pipeline.run}
 
 
 def llm_oracles() -> dict[str, str]:
