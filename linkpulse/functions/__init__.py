@@ -1,6 +1,6 @@
 """Column expressions shared by the operators."""
 
-from .numbers import clamp_limit, char_sum, mean_dp, round_dp
+from .numbers import char_sum, mean_dp, plain_number, round_dp, row_count
 from .text import canon_router_id, is_blank, strip
 from .times import at_or_after, iso_text, parse_time, time_literal
 
@@ -8,12 +8,13 @@ __all__ = [
     "at_or_after",
     "canon_router_id",
     "char_sum",
-    "clamp_limit",
     "is_blank",
     "iso_text",
     "mean_dp",
     "parse_time",
+    "plain_number",
     "round_dp",
+    "row_count",
     "strip",
     "time_literal",
 ]

@@ -34,4 +34,8 @@ def at_or_after(
 ) -> Column:
     """True for rows no older than `minutes` before `as_of`."""
     start = time_literal(df, name, as_of) - F.make_dt_interval(mins=F.lit(minutes))
-    return F.col(name) >= start
+    later = F.col(name) >= start
+    # The stored table is partitioned by date: say so, and other dates are not read.
+    if name == "event_time" and "event_date" in df.columns:
+        return later & (F.col("event_date") >= F.to_date(start))
+    return later

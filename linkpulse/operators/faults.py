@@ -1,160 +1,91 @@
-"""Router baselines, what-if fault overlays and fault classification."""
+"""Router baselines taken from the records, what-if overlays and fault classification.
+
+A router's normal level is the mean of its records without a fault; what a fault does is the mean distance of records
+with that fault from their routers' levels. Both are aggregates that are reduced before the shuffle; the table
+that is joined back has one row per router, or one per fault.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import char_sum
-from ..schema import FAULTED, INTENSITY_FACTORS, METRICS
+from ..schema import FAULTED, METRICS, PERCENT_METRICS
 from .timeline import active_fault_asof
 
-# --- Fixed values ---
-
-# Baseline of a router: start + (sum of character codes of its id % modulus) * step.
-BASELINE = {
-    "latency": (12.0, 7, 0.8),
-    "packet_loss": (0.05, 3, 0.05),
-    "jitter": (1.6, 5, 0.25),
-    "bandwidth_usage": (38.0, 10, 1.5),
-    "cpu_usage": (26.0, 8, 1.8),
-    "memory_usage": (36.0, 6, 2.0),
-}
-
-# Fault effects as (base, rise, cap): min(cap, base + rise * intensity factor), where
-# base None is the router's baseline. Rises are midpoints of the noise ranges.
-EFFECTS = {
-    "Latency Spike": {
-        "latency": (None, 155.0, None),
-        "jitter": (None, 15.0, None),
-        "packet_loss": (None, 0.55, None),
-    },
-    "Packet Loss Spike": {
-        "packet_loss": (None, 15.0, 35.0),
-        "latency": (None, 21.5, None),
-        "jitter": (None, 7.5, None),
-    },
-    "High Jitter": {
-        "jitter": (None, 36.5, None),
-        "latency": (None, 42.5, None),
-    },
-    "Bandwidth Congestion": {
-        "bandwidth_usage": (88.0, 4.75, 98.5),
-        "latency": (None, 107.5, None),
-        "jitter": (None, 20.5, None),
-        "packet_loss": (None, 2.6, None),
-        "cpu_usage": (None, 32.5, 92.0),
-    },
-    "CPU Overload": {
-        "cpu_usage": (91.0, 4.0, 99.4),
-        "latency": (None, 72.5, None),
-        "jitter": (None, 16.5, None),
-        "packet_loss": (None, 1.9, None),
-    },
-    "Memory Overload": {
-        "memory_usage": (88.0, 4.75, 98.8),
-        "cpu_usage": (None, 22.0, 82.0),
-        "packet_loss": (None, 1.5, None),
-    },
-    "Link Failure": {
-        "packet_loss": (100.0, 0.0, None),
-        "latency": (999.0, 0.0, None),
-        "jitter": (0.0, 0.0, None),
-        "bandwidth_usage": (0.0, 0.0, None),
-    },
-}
-
-# Congestion terms: (source metric, threshold, slope).
-CONGESTION = {
-    "latency_from_bandwidth": ("bandwidth_usage", 65.0, 0.35),
-    "latency_from_cpu": ("cpu_usage", 65.0, 0.25),
-    "jitter_from_bandwidth": ("bandwidth_usage", 70.0, 0.1),
-    "loss_from_bandwidth": ("bandwidth_usage", 75.0, 0.04),
-}
-
-# --- Operators ---
-
-
-def _baselines(seed: Column) -> dict[str, Column]:
-    return {
-        m: F.lit(start) + (seed % modulus) * F.lit(step)
-        for m, (start, modulus, step) in BASELINE.items()
-    }
+#: Width of a load band, in percent of bandwidth.
+BAND = 10
 
 
-def with_baseline(df: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """Add `base_<metric>`, the router's normal level, for each metric asked for."""
-    seeded = df.withColumn("seed", char_sum("router_id"))
-    base = _baselines(F.col("seed"))
-    return seeded.withColumns({f"base_{m}": base[m] for m in metrics}).drop("seed")
+def baseline(df: DataFrame) -> DataFrame:
+    """Mean `base_<metric>` and standard deviation `spread_<metric>` of each router's fault-free records."""
+    parts = [F.avg(m).alias(f"base_{m}") for m in METRICS] + [F.stddev_pop(m).alias(f"spread_{m}") for m in METRICS]
+    return df.filter(F.col("active_fault").isNull()).groupBy("router_id").agg(*parts)
 
 
-def baseline(routers: DataFrame) -> DataFrame:
-    """The baseline of every router id."""
-    return with_baseline(routers.select("router_id").distinct())
+def with_baseline(df: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """Add `base_<metric>`; NULL for a router that has no fault-free record."""
+    level = baseline(df).select("router_id", *[f"base_{m}" for m in metrics])
+    return df.join(level, "router_id", "left")
 
 
 def deviation(df: DataFrame) -> DataFrame:
-    """Each record's distance from its router's baseline, as `dev_<metric>`."""
-    based = with_baseline(df)
-    return based.select(
-        "id",
-        "router_id",
-        "event_time",
+    """Each record's distance from its router's normal level, as `dev_<metric>`."""
+    return with_baseline(df).select(
+        "id", "router_id", "event_time", "active_fault",
         *[(F.col(m) - F.col(f"base_{m}")).alias(f"dev_{m}") for m in METRICS],
     )
 
 
-def congestion_terms(df: DataFrame) -> DataFrame:
-    """How much load adds to latency, jitter and loss."""
-    return df.select(
-        "id",
-        "router_id",
-        "event_time",
-        *[
-            F.greatest(F.lit(0.0), (F.col(m) - F.lit(start)) * F.lit(slope)).alias(name)
-            for name, (m, start, slope) in CONGESTION.items()
-        ],
+def fault_effects(df: DataFrame) -> DataFrame:
+    """Mean distance from the normal level, `effect_<metric>`, of the records with each fault."""
+    return (
+        deviation(df).filter(F.col("active_fault").isNotNull())
+        .groupBy(F.col("active_fault").alias("fault_type"))
+        .agg(*[F.avg(f"dev_{m}").alias(f"effect_{m}") for m in METRICS], F.count("*").alias("records"))
+    )
+
+
+def load_profile(df: DataFrame) -> DataFrame:
+    """Mean latency, jitter and loss of the records in each band of bandwidth use."""
+    band = (F.floor(F.col("bandwidth_usage") / BAND) * BAND).cast("int").alias("band")
+    return df.groupBy(band).agg(
+        F.count("*").alias("records"), *[F.avg(m).alias(m) for m in ("latency", "jitter", "packet_loss")]
     )
 
 
 def apply_faults(df: DataFrame, schedule: DataFrame) -> DataFrame:
-    """Rewrite records as if the scheduled faults had happened.
+    """Records as if the scheduled faults had happened: each metric is moved by what that fault does on average.
 
-    Records with no fault in force stay as they are.
+    Percentages stay within 0 to 100, other metrics at or above 0. Faults never recorded move nothing; records with no fault
+    in force stay as they are.
     """
-    factor = F.lit(None).cast("double")
-    for name, value in INTENSITY_FACTORS.items():
-        factor = F.when(F.col("intensity") == name, F.lit(value)).otherwise(factor)
-    marked = with_baseline(active_fault_asof(df, schedule)).withColumn("factor", factor)
+    effects = fault_effects(df).drop("records").withColumnRenamed("fault_type", "__fault")
+    marked = active_fault_asof(df, schedule)
+    moved = marked.join(effects, F.col("fault_type") == F.col("__fault"), "left")
+    hit = F.col("fault_type").isNotNull()
 
     def rewritten(metric: str) -> Column:
-        value = F.col(metric)
-        for fault, effects in EFFECTS.items():
-            if metric not in effects:
-                continue
-            base, rise, cap = effects[metric]
-            start = F.col(f"base_{metric}") if base is None else F.lit(base)
-            level = start + F.lit(rise) * F.col("factor")
-            if cap is not None:
-                level = F.least(F.lit(cap), level)
-            value = F.when(F.col("fault_type") == fault, level).otherwise(value)
-        return value.alias(metric)
+        value = F.greatest(F.lit(0.0), F.col(metric) + F.coalesce(f"effect_{metric}", F.lit(0.0)))
+        value = F.least(F.lit(100.0), value) if metric in PERCENT_METRICS else value
+        return F.when(hit, value).otherwise(F.col(metric)).alias(metric)
 
-    hit = F.col("fault_type").isNotNull()
     changed = {
         **{m: rewritten(m) for m in METRICS},
         "status": F.when(hit, F.lit(FAULTED)).otherwise(F.col("status")).alias("status"),
         "active_fault": F.coalesce("fault_type", "active_fault").alias("active_fault"),
     }
-    return marked.select(*[changed.get(c, F.col(c)) for c in df.columns])
+    return moved.select(*[changed.get(c, F.col(c)) for c in df.columns])
 
 
 def classify_fault(df: DataFrame) -> DataFrame:
-    """Name the fault a record's metrics point to, as `predicted_fault`."""
+    """Name the fault a record's metrics point to, as `predicted_fault`; jitter and latency against the router's level.
+
+    Without a level (no fault-free record of the router) these two count from 0.
+    """
     based = with_baseline(df, ("latency", "jitter"))
-    dl = F.col("latency") - F.col("base_latency")
-    dj = F.col("jitter") - F.col("base_jitter")
+    dl = F.col("latency") - F.coalesce("base_latency", F.lit(0.0))
+    dj = F.col("jitter") - F.coalesce("base_jitter", F.lit(0.0))
     predicted = (
         F.when((F.col("packet_loss") >= 100) & (F.col("latency") >= 999), F.lit("Link Failure"))
         .when(F.col("bandwidth_usage") >= 88, F.lit("Bandwidth Congestion"))

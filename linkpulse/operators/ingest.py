@@ -45,11 +45,13 @@ def parse_lines(raw: DataFrame) -> DataFrame:
     are no error. They are not filtered out here: the filter would be pushed below
     whatever makes the lines and have it done twice.
     """
-    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     lines = raw.withColumn("value", F.make_valid_utf8("value"))
     lines = lines.withColumn("text", strip("value"))
     parsed = lines.withColumn("doc", _parse(F.col("text")))
-    whole = F.coalesce(F.try_variant_get("doc", "$[1]", "string") == _END, F.lit(False))
+    # Two elements and no third: text of the line cannot pass for the end mark.
+    whole = F.coalesce(F.try_variant_get("doc", "$[1]", "string") == _END, F.lit(False)) & F.try_variant_get(
+        "doc", "$[2]", "variant"
+    ).isNull()
     retried = _parse(F.regexp_replace("text", _NON_FINITE_TOKEN, "$1null"))
     return parsed.withColumn(
         "parse_reason",

@@ -21,6 +21,9 @@ from ..schema import (
     METRICS,
 )
 
+# Ranges that natural ranks are counted in.
+RANGES = 256
+
 _STATE = ("event_time", *METRICS, "status", "active_fault")
 
 
@@ -59,10 +62,18 @@ def fault_badges(states: DataFrame) -> DataFrame:
 
 
 def clean_registry(registry: DataFrame) -> DataFrame:
-    """Registry rows with canonical ids and a name in every row."""
+    """One registry row per canonical id, with a name in every row.
+
+    Of several rows whose ids become equal the last one counts: by `seq` where there is such a
+    column, else the largest by its values, so that reruns agree.
+    """
     rid = canon_router_id("router_id")
     named = F.coalesce(F.nullif(strip("name"), F.lit("")), F.concat(F.lit("Router "), rid))
-    return registry.withColumns({"name": named, "router_id": rid})
+    clean = registry.withColumns({"name": named, "router_id": rid})
+    rest = [c for c in clean.columns if c != "router_id"]
+    order = F.struct(*(["seq"] if "seq" in rest else []), *[c for c in rest if c != "seq"])
+    last = clean.groupBy("router_id").agg(F.max(order).alias("r"))
+    return last.select(*["router_id" if c == "router_id" else F.col(f"r.{c}").alias(c) for c in clean.columns])
 
 
 def clean_schedule(schedule: DataFrame) -> DataFrame:
@@ -88,11 +99,13 @@ def fault_end(started: Column | str = "started_at", seconds: Column | str = "dur
 
 
 def active_faults(schedule: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
-    """The fault in force per router at `as_of`: the newest one started, if not over."""
+    """The fault in force per router at `as_of`: the newest one started, if not over.
+
+    `schedule` needs `seq` to order faults of one router that start together.
+    """
     now = time_literal(schedule, "started_at", as_of)
-    order = ["started_at", "seq"] if "seq" in schedule.columns else ["started_at"]
     fields = [c for c in schedule.columns if c != "router_id"]
-    newest = F.max_by(F.struct(*fields), F.struct(*order))
+    newest = F.max_by(F.struct(*fields), F.struct("started_at", "seq"))
     return (
         schedule.filter(F.col("started_at") <= now)
         .groupBy("router_id")
@@ -137,23 +150,23 @@ def natural_order(df: DataFrame) -> DataFrame:
 def natural_rank(df: DataFrame) -> DataFrame:
     """`natural_order` as a dense number per router id, from 1.
 
-    Numbers ids within blocks of equal length and equal first characters, then adds
-    the size of all earlier blocks, so that no task has to hold every id.
+    A fixed number of ids, drawn by hash, splits the order into ranges of about equal size, whatever the ids begin
+    with. Ids are numbered inside their range, then the sizes of all earlier ranges are added.
     """
-    block = ("len", "head")
-    ids = (
-        df.select("router_id")
-        .distinct()
-        .withColumns({"len": F.length("router_id"), "head": F.substring("router_id", 1, 3)})
-    )
-    # One row per block here, so a single ordered window is enough.
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ids.groupBy(*block).agg(F.count("*").alias("size"))
-    offsets = sizes.select(*block, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy(*block).orderBy("router_id"))
+    key = F.struct(F.length("router_id").alias("len"), F.col("router_id").alias("id"))
+    ids = df.select("router_id").distinct().withColumn("key", key)
+    drawn = ids.filter("router_id IS NOT NULL").orderBy(F.xxhash64("router_id"), "router_id").limit(RANGES - 1)
+    borders = drawn.agg(F.collect_list("key")).scalar()
+    block = F.size(F.filter("borders", lambda b: b <= F.col("key")))
+    ids = ids.withColumn("borders", borders)
+    ids = ids.withColumn("block", F.when(F.col("router_id").isNull(), F.lit(-1)).otherwise(block)).drop("borders")
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ids.groupBy("block").agg(F.count("*").alias("size"))
+    offsets = sizes.select("block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("block").orderBy("key"))
     return (
         ids.withColumn("within", within)
-        .join(offsets, list(block))
+        .join(offsets, "block")
         .select("router_id", (F.col("offset") + F.col("within")).cast("bigint").alias("natural_rank"))
     )
 

@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import at_or_after, clamp_limit
-from ..schema import FAULTED, LATEST_LIMIT, MAX_WINDOW_MINUTES, METRICS, RECENT_LIMIT, ROUTER_LIMIT
+from ..functions import at_or_after, plain_number, row_count
+from ..schema import FAULTED, LATEST_ROWS, METRICS, RECENT_ROWS, ROUTER_ROWS
 
 NEWEST_FIRST = ("event_time", "id")
 
@@ -23,8 +23,8 @@ def in_window(
     """Rows of the last `minutes` before `as_of`; all rows for None or 0."""
     if not minutes:
         return df
-    if not 0 < minutes <= MAX_WINDOW_MINUTES:
-        raise ValueError(f"minutes must be within 1..{MAX_WINDOW_MINUTES}")
+    if minutes < 0:
+        raise ValueError("minutes must not be negative")
     return df.filter(at_or_after(df, minutes, as_of))
 
 
@@ -48,35 +48,46 @@ def is_fault(status: Column | str = "status", active_fault: Column | str = "acti
 def newest(df: DataFrame, n: int) -> DataFrame:
     """The newest `n` rows, ties by `id`.
 
-    A plain top-n sends n rows of every input partition to one task. So a histogram
-    of the time column (one narrow column, reduced on the map side) first gives the
-    minute below which no row can be among the newest n, and only later rows are
-    ranked. The cutoff reaches the scan, where row groups outside it are skipped.
+    A plain top-n sends n rows of every input partition to one task. So histograms of the
+    time column (one narrow column, reduced on the map side) first give the minute
+    below which no row can be among the newest n: one over days, then one over the
+    minutes of the day found. Only later rows are ranked. The cutoff reaches the scan,
+    where dates and row groups outside it are skipped.
     """
     kind = df.schema["event_time"].dataType
-    per_minute = (
-        df.filter(F.col("event_time").isNotNull())
-        .groupBy(F.date_trunc("minute", "event_time").cast(kind).alias("minute"))
-        .agg(F.count("*").alias("rows"))
-    )
-    # One row per minute of history: bounded by time, not by rows.
-    so_far = F.sum("rows").over(
-        Window.orderBy(F.col("minute").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    timed = df.filter(F.col("event_time").isNotNull())
+    day = F.date_trunc("day", "event_time").cast(kind)
     everything = F.lit("0001-01-01 00:00:00").cast(kind)
-    cutoff = (
-        per_minute.withColumn("so_far", so_far)
-        .filter(F.col("so_far") >= n)
-        .agg(F.coalesce(F.max("minute"), everything).alias("cutoff"))
-    )
+
+    def reached(histogram: DataFrame, rows: Column) -> DataFrame:
+        """The newest slot at which the rows from there on are enough; the oldest time if none is."""
+        downwards = Window.orderBy(F.col("slot").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        return (
+            histogram.withColumn("so_far", F.sum("rows").over(downwards))
+            .filter(F.col("so_far") >= rows)
+            .agg(F.coalesce(F.max("slot"), everything).alias("cutoff"))
+        )
+
+    per_day = timed.groupBy(day.alias("slot")).agg(F.count("*").alias("rows"))
+    last_day = reached(per_day, F.lit(n)).scalar()
+    later = per_day.filter(F.col("slot") > last_day).agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar()
+    inside = timed.filter(_on_or_after(df, last_day)).filter(day == last_day)
+    per_minute = inside.groupBy(F.date_trunc("minute", "event_time").cast(kind).alias("slot")).agg(F.count("*").alias("rows"))
+    cutoff = reached(per_minute, F.lit(n) - later).scalar()
     # Rows without a time sort last, so they only show where timed rows run out.
-    kept = df.filter((F.col("event_time") >= cutoff.scalar()) | F.col("event_time").isNull())
+    kept = df.filter(_on_or_after(df, cutoff) | F.col("event_time").isNull())
     return kept.orderBy(*_newest_first()).limit(n)
 
 
+def _on_or_after(df: DataFrame, time: Column) -> Column:
+    """True from `time` on; with stored dates, said so that other dates are not read."""
+    later = F.col("event_time") >= time
+    return later & (F.col("event_date") >= F.to_date(time)) if "event_date" in df.columns else later
+
+
 def latest(df: DataFrame, n: int | None = None) -> DataFrame:
     """The newest records of all routers."""
-    return newest(df, clamp_limit(n, LATEST_LIMIT))
+    return newest(df, row_count(n, LATEST_ROWS))
 
 
 def recent(
@@ -90,16 +101,12 @@ def recent(
     rows = in_window(df, minutes, as_of)
     if router_id:
         rows = for_router(rows, router_id)
-    n = clamp_limit(n, RECENT_LIMIT)
-    if minutes:
-        # The window already cuts the scan down; a second cut would not pay.
-        return rows.orderBy(*_newest_first()).limit(n)
-    return newest(rows, n)
+    return newest(rows, row_count(n, RECENT_ROWS))
 
 
 def router_history(df: DataFrame, router_id: str, n: int | None = None) -> DataFrame:
     """The newest records of one router."""
-    return newest(for_router(df, router_id), clamp_limit(n, ROUTER_LIMIT))
+    return newest(for_router(df, router_id), row_count(n, ROUTER_ROWS))
 
 
 def live_tail(df: DataFrame, buffer: int = 100, shown: int = 20) -> DataFrame:
@@ -129,13 +136,13 @@ def newest_per_router(df: DataFrame, n: int, shards: int = 64) -> DataFrame:
 
 def history_per_router(df: DataFrame, n: int | None = None) -> DataFrame:
     """The newest records of every router in one job."""
-    return newest_per_router(df, clamp_limit(n, ROUTER_LIMIT))
+    return newest_per_router(df, row_count(n, ROUTER_ROWS))
 
 
 def event_lines(df: DataFrame) -> DataFrame:
     """One text line per record, as an operator's console shows it."""
     # Whole numbers are written without a decimal point.
-    number = {m: F.regexp_replace(F.col(m).cast("string"), r"\.0$", "") for m in METRICS}
+    number = {m: plain_number(m) for m in METRICS}
     tag = F.when(
         is_fault(),
         F.concat(

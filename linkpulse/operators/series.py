@@ -24,7 +24,9 @@ def perf_series(
 ) -> DataFrame:
     """Average and maximum of a metric per time window and group.
 
-    With a `registry`, the group column comes from there. Records are first reduced
+    With a `registry`, the group column comes from there; records of routers that it does not
+    name form the group NULL. Ids must have one form on both sides: registry ids as `clean_registry` gives
+    them (upper case), one row each. Records are first reduced
     to one row per router and pane (the slide, or the width for tumbling windows);
     the join and the spreading over overlapping windows work on that result only.
     Rows are `(bucket_start, <by>, samples, avg, max)`.
@@ -43,7 +45,7 @@ def perf_series(
         .drop("pane")
     )
     if registry is not None:
-        reduced = reduced.join(registry.select("router_id", by), "router_id")
+        reduced = reduced.join(registry.select("router_id", by), "router_id", "left")
     if panes > 1:
         # A pane belongs to the window that starts with it and to earlier ones.
         back = F.explode(F.sequence(F.lit(0), F.lit(panes - 1)))

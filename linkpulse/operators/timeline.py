@@ -123,17 +123,17 @@ def fault_episodes(df: DataFrame, bucket_s: int = HOUR) -> DataFrame:
         )
     )
     in_order = Window.partitionBy(*key).orderBy("piece")
+    # Looking ahead runs over the reversed order: a growing frame costs the same for every row.
+    ahead = Window.partitionBy(*key).orderBy(F.col("piece").desc())
     clear = F.when(F.col("active_fault").isNull(), F.col("started_at"))
     pieces = pieces.withColumns(
         {
             "is_first": F.col("piece") == 1,
             "is_last": F.lead("piece").over(in_order).isNull(),
-            "next_clear": F.first(clear, ignorenulls=True).over(
-                in_order.rowsBetween(1, Window.unboundedFollowing)
-            ),
-            "first_clear": F.first(clear, ignorenulls=True).over(
-                in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            "next_clear": F.last(clear, ignorenulls=True).over(
+                ahead.rowsBetween(Window.unboundedPreceding, -1)
             ),
+            "first_clear": F.min(clear).over(Window.partitionBy(*key)),
         }
     )
 
@@ -155,8 +155,9 @@ def fault_episodes(df: DataFrame, bucket_s: int = HOUR) -> DataFrame:
         )
         .withColumn(
             "later_clear",
-            F.first(F.when(F.col("is_first"), F.col("first_clear")), ignorenulls=True).over(
-                whole_line.rowsBetween(1, Window.unboundedFollowing)
+            F.last(F.when(F.col("is_first"), F.col("first_clear")), ignorenulls=True).over(
+                Window.partitionBy("router_id").orderBy(F.col("bucket").desc(), F.col("piece").desc())
+                .rowsBetween(Window.unboundedPreceding, -1)
             ),
         )
         .groupBy(*key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..schema import METRICS
+from ..schema import METRICS, PERCENT_METRICS
 
 _K = "CAST(json_extract_string(props, '$.k') AS INT)"
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%gZ')"
@@ -83,86 +83,40 @@ def _alerts() -> str:
     return _with("\nUNION ALL ".join(parts), _MAINED)
 
 
-# Sum of the character codes of a router id.
-_SEED = (
-    "CAST(list_sum(list_transform(string_split(router_id, ''), lambda c: ascii(c))) AS BIGINT)"
-)
-_BASES = {
-    "latency": "CAST(12 AS DOUBLE) + (s % 7) * CAST(0.8 AS DOUBLE)",
-    "packet_loss": "CAST(0.05 AS DOUBLE) + (s % 3) * CAST(0.05 AS DOUBLE)",
-    "jitter": "CAST(1.6 AS DOUBLE) + (s % 5) * CAST(0.25 AS DOUBLE)",
-    "bandwidth_usage": "CAST(38 AS DOUBLE) + (s % 10) * CAST(1.5 AS DOUBLE)",
-    "cpu_usage": "CAST(26 AS DOUBLE) + (s % 8) * CAST(1.8 AS DOUBLE)",
-    "memory_usage": "CAST(36 AS DOUBLE) + (s % 6) * CAST(2 AS DOUBLE)",
-}
-_BASED = f"""seeded AS (SELECT *, {_SEED} AS s FROM t),
-based AS (SELECT *, {", ".join(f"{x} AS base_{m}" for m, x in _BASES.items())} FROM seeded)"""
+# Each record with the means of its router's fault-free records.
+_BASE = f"""base AS (SELECT router_id, {", ".join(f"avg({m}) AS base_{m}, stddev_pop({m}) AS spread_{m}" for m in METRICS)}
+ FROM t WHERE active_fault IS NULL GROUP BY router_id)"""
+_BASED = f"""{_BASE},
+based AS (SELECT t.*, {", ".join(f"base_{m}" for m in METRICS)} FROM t LEFT JOIN base USING (router_id))"""
+_EFFECTS = f"""effects AS (SELECT active_fault AS ef, count(*) AS n, {", ".join(f"avg({m} - base_{m}) AS effect_{m}" for m in METRICS)}
+ FROM based WHERE active_fault IS NOT NULL GROUP BY 1)"""
 
 _CLASS = """CASE WHEN packet_loss >= 100 AND latency >= 999 THEN 'Link Failure'
  WHEN bandwidth_usage >= 88 THEN 'Bandwidth Congestion' WHEN memory_usage >= 88 THEN 'Memory Overload'
  WHEN cpu_usage >= 91 THEN 'CPU Overload' WHEN packet_loss >= 4 THEN 'Packet Loss Spike'
- WHEN jitter - base_jitter >= 10
-  AND jitter - base_jitter > (latency - base_latency) * CAST(0.3 AS DOUBLE) THEN 'High Jitter'
- WHEN latency - base_latency >= 49 THEN 'Latency Spike' END"""
+ WHEN jitter - coalesce(base_jitter, 0) >= 10
+  AND jitter - coalesce(base_jitter, 0) > (latency - coalesce(base_latency, 0)) * CAST(0.3 AS DOUBLE) THEN 'High Jitter'
+ WHEN latency - coalesce(base_latency, 0) >= 49 THEN 'Latency Spike' END"""
 
-_ASOF = """hit AS (SELECT based.*, s.fault_type AS ft, s.intensity AS fi, s.started_at AS fs, s.duration_s AS fd
+_ASOF = """hit AS (SELECT based.*, s.fault_type AS ft, s.started_at AS fs, s.duration_s AS fd
  FROM based ASOF LEFT JOIN sched s ON based.router_id = s.router_id AND based.event_time >= s.started_at),
-live AS (SELECT *, CASE WHEN event_time < fs + to_seconds(fd) THEN ft END AS fault_type,
- CASE WHEN event_time < fs + to_seconds(fd) THEN fi END AS intensity,
- CASE WHEN event_time < fs + to_seconds(fd) THEN fs END AS started_at FROM hit),
-factored AS (SELECT *, CAST(CASE intensity WHEN 'Low' THEN 0.4 WHEN 'Medium' THEN 0.7
- WHEN 'High' THEN 1.0 END AS DOUBLE) AS f FROM live)"""
-
-
-def _d(x: float) -> str:
-    return f"CAST({x} AS DOUBLE)"
+live AS (SELECT *, CASE WHEN event_time < fs + to_seconds(fd) THEN ft END AS fault_type FROM hit)"""
 
 
 def _overlay() -> str:
-    def up(metric: str, rise: float) -> str:
-        return f"base_{metric} + {_d(rise)} * f"
-
-    def capped(cap: float, x: str) -> str:
-        return f"least({_d(cap)}, {x})"
-
-    rules = {
-        "latency": {
-            "Latency Spike": up("latency", 155), "Packet Loss Spike": up("latency", 21.5),
-            "High Jitter": up("latency", 42.5), "Bandwidth Congestion": up("latency", 107.5),
-            "CPU Overload": up("latency", 72.5), "Link Failure": _d(999),
-        },
-        "packet_loss": {
-            "Latency Spike": up("packet_loss", 0.55),
-            "Packet Loss Spike": capped(35, up("packet_loss", 15)),
-            "Bandwidth Congestion": up("packet_loss", 2.6), "CPU Overload": up("packet_loss", 1.9),
-            "Memory Overload": up("packet_loss", 1.5), "Link Failure": _d(100),
-        },
-        "jitter": {
-            "Latency Spike": up("jitter", 15), "Packet Loss Spike": up("jitter", 7.5),
-            "High Jitter": up("jitter", 36.5), "Bandwidth Congestion": up("jitter", 20.5),
-            "CPU Overload": up("jitter", 16.5), "Link Failure": _d(0),
-        },
-        "bandwidth_usage": {
-            "Bandwidth Congestion": capped(98.5, f"{_d(88)} + {_d(4.75)} * f"),
-            "Link Failure": _d(0),
-        },
-        "cpu_usage": {
-            "Bandwidth Congestion": capped(92, up("cpu_usage", 32.5)),
-            "CPU Overload": capped(99.4, f"{_d(91)} + {_d(4)} * f"),
-            "Memory Overload": capped(82, up("cpu_usage", 22)),
-        },
-        "memory_usage": {"Memory Overload": capped(98.8, f"{_d(88)} + {_d(4.75)} * f")},
-    }
     columns = []
     for m in METRICS:
-        whens = " ".join(f"WHEN fault_type = '{ft}' THEN {x}" for ft, x in rules[m].items())
-        columns.append(_r(f"CASE {whens} ELSE {m} END", 6) + f" AS {m}")
+        moved = f"greatest(CAST(0 AS DOUBLE), {m} + coalesce(effect_{m}, 0))"
+        if m in PERCENT_METRICS:
+            moved = f"least(CAST(100 AS DOUBLE), {moved})"
+        columns.append(_r(f"CASE WHEN fault_type IS NOT NULL THEN {moved} ELSE {m} END", 4) + f" AS {m}")
     return _with(
         f"""SELECT id, router_id, {", ".join(columns)},
  CASE WHEN fault_type IS NOT NULL THEN 'FAULTED' ELSE status END AS status,
- coalesce(fault_type, active_fault) AS active_fault FROM factored""",
+ coalesce(fault_type, active_fault) AS active_fault FROM live LEFT JOIN effects ON fault_type = ef""",
         _SCHED,
         _BASED,
+        _EFFECTS,
         _ASOF,
     )
 
@@ -396,22 +350,24 @@ GROUP BY router_id, active_fault, island""",
             _EPISODES,
         ),
         "baseline_profile": _with(
-            f"""SELECT DISTINCT router_id, {", ".join(f"{_r('base_' + m, 6)} AS base_{m}" for m in METRICS)}
-FROM based""",
-            _BASED,
+            f"""SELECT router_id, {", ".join(f"{_r(f'{k}_{m}', 4)} AS {k}_{m}" for k in ("base", "spread") for m in METRICS)}
+FROM base""",
+            _BASE,
         ),
         "baseline_deviation": _with(
-            f"""SELECT id, router_id, {", ".join(f"{_r(f'{m} - base_{m}', 6)} AS dev_{m}" for m in METRICS)}
+            f"""SELECT id, router_id, {", ".join(f"{_r(f'{m} - base_{m}', 4)} AS dev_{m}" for m in METRICS)}
 FROM based""",
             _BASED,
         ),
         "congestion_terms": _with(
-            f"""SELECT id, router_id,
- {_r("greatest(CAST(0 AS DOUBLE), (bandwidth_usage - 65) * CAST(0.35 AS DOUBLE))", 6)} AS latency_from_bandwidth,
- {_r("greatest(CAST(0 AS DOUBLE), (cpu_usage - 65) * CAST(0.25 AS DOUBLE))", 6)} AS latency_from_cpu,
- {_r("greatest(CAST(0 AS DOUBLE), (bandwidth_usage - 70) * CAST(0.1 AS DOUBLE))", 6)} AS jitter_from_bandwidth,
- {_r("greatest(CAST(0 AS DOUBLE), (bandwidth_usage - 75) * CAST(0.04 AS DOUBLE))", 6)} AS loss_from_bandwidth
-FROM t"""
+            f"""SELECT CAST(floor(bandwidth_usage / 10) * 10 AS INT) AS band, count(*) AS records,
+ {", ".join(f"{_r(f'avg({m})', 4)} AS {m}" for m in ("latency", "jitter", "packet_loss"))} FROM t GROUP BY 1"""
+        ),
+        "fault_effects": _with(
+            f"""SELECT ef AS fault_type, n AS records, {", ".join(f"{_r('effect_' + m, 4)} AS effect_{m}" for m in METRICS)}
+FROM effects""",
+            _BASED,
+            _EFFECTS,
         ),
         "classify_fault": _with(
             f"SELECT id, router_id, active_fault, {_CLASS} AS predicted_fault FROM based", _BASED
@@ -450,13 +406,13 @@ GROUP BY 1, 2""",
         "perf_series_hourly": _with(
             f"""SELECT time_bucket(INTERVAL 1 HOUR, event_time) AS bucket_start, role, count(*) AS samples,
  {_r("avg(cpu_usage)")} AS avg, max(cpu_usage) AS max
-FROM t JOIN reg USING (router_id) GROUP BY 1, 2""",
+FROM t LEFT JOIN reg USING (router_id) GROUP BY 1, 2""",
             _REG,
         ),
         "perf_series_sliding": _with(
             f"""SELECT time_bucket(INTERVAL 1 HOUR, event_time) - to_hours(b.i) AS bucket_start, role,
  count(*) AS samples, {_r("avg(latency)")} AS avg, max(latency) AS max
-FROM t JOIN reg USING (router_id), range(6) AS b(i) GROUP BY 1, 2""",
+FROM (SELECT * FROM t LEFT JOIN reg USING (router_id)), range(6) AS b(i) GROUP BY 1, 2""",
             _REG,
         ),
         "network_series_daily": _with(

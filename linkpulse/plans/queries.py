@@ -305,7 +305,7 @@ def fault_overlay(spark, d):
 def _rounded(names):
     from ..functions import round_dp
 
-    return [round_dp(n, 6).alias(n) for n in names]
+    return [round_dp(n, 4).alias(n) for n in names]
 
 
 @query
@@ -316,7 +316,7 @@ def fault_episodes(spark, d):
 @query
 def baseline_profile(spark, d):
     return faults.baseline(views.telemetry(spark, d)).select(
-        "router_id", *_rounded([f"base_{m}" for m in METRICS])
+        "router_id", *_rounded([f"{kind}_{m}" for kind in ("base", "spread") for m in METRICS])
     )
 
 
@@ -329,8 +329,15 @@ def baseline_deviation(spark, d):
 
 @query
 def congestion_terms(spark, d):
-    return faults.congestion_terms(views.telemetry(spark, d)).select(
-        "id", "router_id", *_rounded(faults.CONGESTION)
+    return faults.load_profile(views.telemetry(spark, d)).select(
+        "band", "records", *_rounded(["latency", "jitter", "packet_loss"])
+    )
+
+
+@query
+def fault_effects(spark, d):
+    return faults.fault_effects(views.telemetry(spark, d)).select(
+        "fault_type", "records", *_rounded([f"effect_{m}" for m in METRICS])
     )
 
 

@@ -76,11 +76,10 @@ PRIMARY_EVENTS = (
 )
 NO_BREACH_EVENT = "TELEMETRY_UPDATE"
 
-# Result limits: (default, largest allowed).
-LATEST_LIMIT = (50, 1000)
-RECENT_LIMIT = (200, 2000)
-ROUTER_LIMIT = (50, 1000)
-MAX_WINDOW_MINUTES = 1440
+# Rows returned where none are asked for.
+LATEST_ROWS = 50
+RECENT_ROWS = 200
+ROUTER_ROWS = 50
 
 # --- Layouts ---
 

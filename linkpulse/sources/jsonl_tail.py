@@ -5,8 +5,9 @@
 
 Offsets are byte positions just past a newline, so a line still being written waits
 for the next batch. With each position goes a fingerprint of the first bytes of the
-file: a file that was truncated, or replaced by a smaller or a larger one, no longer
-matches it and is read from its start. The bytes of a batch are cut into ranges that
+file and of the last bytes before the position: a file that was truncated, or replaced
+by a smaller or a larger one, no longer matches and is read from its start, which adds
+nothing twice since records are stored by key. The bytes of a batch are cut into ranges that
 many tasks read; each range begins with the first line that starts inside it.
 
 The log must lie on storage that the driver and every executor can read.
@@ -22,13 +23,13 @@ from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-# Bytes at the start of a file that tell it from its successor.
-FINGERPRINT_BYTES = 1024
+# Bytes at the start of a file, and before the position, that tell it from its successor.
+FINGERPRINT_BYTES = 4096
 DEFAULT_SPLIT_BYTES = 64 * 1024 * 1024
 READ_BYTES = 4 * 1024 * 1024
 BATCH_LINES = 20_000
 
-START = {"position": 0, "mark_bytes": 0, "mark": ""}
+START = {"position": 0, "mark_bytes": 0, "mark": ""}  # nothing read yet
 
 
 def _open(path: str):
@@ -44,9 +45,15 @@ def _open(path: str):
     return system.open_input_file(inner)
 
 
-def _mark(f, size: int) -> str:
+def _mark(f, size: int, position: int) -> str:
+    """Digest of the first `size` bytes and of the `size` bytes before `position`."""
+    if not size:
+        return ""
     f.seek(0)
-    return hashlib.sha256(f.read(size)).hexdigest() if size else ""
+    digest = hashlib.sha256(f.read(size))
+    f.seek(position - size)
+    digest.update(f.read(size))
+    return digest.hexdigest()
 
 
 def _past_last_newline(f, end: int) -> int:
@@ -71,7 +78,7 @@ class JsonlTailReader(DataSourceStreamReader):
         self.path = options["path"]
         self.split_bytes = int(options.get("splitBytes", DEFAULT_SPLIT_BYTES))
         self.max_bytes = int(options.get("maxBytesPerTrigger", 0))
-        self.done = None  # last position handed out, known from the second batch on
+        self.done = dict(START)  # last position handed out; a restart sets it in `partitions`
 
     def initialOffset(self) -> dict:
         return dict(START)
@@ -82,12 +89,13 @@ class JsonlTailReader(DataSourceStreamReader):
             return dict(START)
         with f:
             size = f.size()
-            if self.max_bytes and self.done and self._same(f, self.done):
-                size = self._limited(f, self.done["position"], size)
+            if self.max_bytes:
+                begin = self.done["position"] if self._same(f, self.done) else 0
+                size = self._limited(f, begin, size)
             position = _past_last_newline(f, size)
             mark_bytes = min(position, FINGERPRINT_BYTES)
             latest = {
-                "position": position, "mark_bytes": mark_bytes, "mark": _mark(f, mark_bytes)
+                "position": position, "mark_bytes": mark_bytes, "mark": _mark(f, mark_bytes, position)
             }
         if self.max_bytes:
             self.done = latest
@@ -106,7 +114,7 @@ class JsonlTailReader(DataSourceStreamReader):
     def _same(f, offset: dict) -> bool:
         """True if the file still is the one the offset was taken from."""
         size = offset["mark_bytes"]
-        return f.size() >= offset["position"] and _mark(f, size) == offset["mark"]
+        return f.size() >= offset["position"] and _mark(f, size, offset["position"]) == offset["mark"]
 
     def partitions(self, start: dict, end: dict):
         f = _open(self.path)

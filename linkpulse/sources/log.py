@@ -96,7 +96,6 @@ def log_stats(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.sum("records"), F.lit(0)).alias("total_records"),
         size.alias("size_bytes"),
         round_dp(size / 1024, 2).alias("size_kb"),
-        F.lit("JSON Lines (.jsonl)").alias("format"),
     )
 
 

@@ -11,3 +11,10 @@ def exists(spark: SparkSession, pattern: str) -> bool:
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = system.globStatus(path)
     return found is not None and len(found) > 0
+
+
+def file_size(spark: SparkSession, path: str) -> int | None:
+    """Bytes of a file, or of all files below a folder; None if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else None

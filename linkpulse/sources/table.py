@@ -15,31 +15,29 @@ from ..schema import TELEMETRY_SCHEMA
 from ..session import require_utc
 from .paths import exists
 
-_NO_DATE = "__HIVE_DEFAULT_PARTITION__"
-# With more dates than this, a date range is read instead of a list of partitions.
-MAX_LISTED_DATES = 1000
-
-
-def read_telemetry(spark: SparkSession, path: str, *partitions: str) -> DataFrame:
-    """The stored table, or only the named partition folders; empty if there is none."""
-    wanted = f"{path}/{{{','.join(partitions)}}}" if partitions else path
-    if not exists(spark, wanted):
+def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table; empty if there is none."""
+    if not exists(spark, path):
         return spark.createDataFrame([], TELEMETRY_SCHEMA)
-    return spark.read.schema(TELEMETRY_SCHEMA).option("basePath", path).parquet(wanted)
+    return spark.read.schema(TELEMETRY_SCHEMA).parquet(path)
 
 
 def _touched(batch: DataFrame) -> Callable[[str], DataFrame]:
-    """A reader for the partitions of a table that hold dates of the batch.
+    """A reader for the part of a table that can hold keys of the batch.
 
-    At most `MAX_LISTED_DATES` + 1 dates come to the driver, whatever the batch size.
+    One way for every size: the batch's span of time, which leaves dates and, as files are sorted by
+    time, row groups unread; and the records without a time if the batch has such.
     """
     spark = batch.sparkSession
-    dates = batch.select("event_date").distinct().limit(MAX_LISTED_DATES + 1).collect()
-    if len(dates) <= MAX_LISTED_DATES:
-        names = [f"event_date={d[0] if d[0] else _NO_DATE}" for d in dates] or ["none"]
-        return lambda path: read_telemetry(spark, path, *names)
-    low, high = batch.agg(F.min("event_date"), F.max("event_date")).first()
-    inside = F.col("event_date").between(low, high) | F.col("event_date").isNull()
+    low, high, untimed = batch.agg(
+        F.min("event_time"), F.max("event_time"), F.count_if(F.col("event_time").isNull())
+    ).first()
+    inside = F.lit(False)
+    if low is not None:
+        dates = F.col("event_date").between(F.to_date(F.lit(low)), F.to_date(F.lit(high)))
+        inside = dates & F.col("event_time").between(F.lit(low), F.lit(high))
+    if untimed:
+        inside = inside | F.col("event_date").isNull()
     return lambda path: read_telemetry(spark, path).filter(inside)
 
 
@@ -80,7 +78,7 @@ def append_new(
     (
         # Adaptive execution splits a crowded date over several files.
         rows.hint("rebalance", "event_date")
-        .sortWithinPartitions("event_date", "router_id", "event_time")
+        .sortWithinPartitions("event_date", "event_time", "router_id")
         .write.mode("append")
         .partitionBy("event_date")
         .parquet(path)

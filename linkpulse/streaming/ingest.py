@@ -7,11 +7,15 @@ and the ledger row go to a folder of their own per batch, which is overwritten.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import iso_text
 from ..operators.ingest import (
     accepted,
     is_rejected,
@@ -21,10 +25,10 @@ from ..operators.ingest import (
     strict_times,
 )
 from ..operators.ledger import ingest_status
-from ..schema import LEDGER_SCHEMA
+from ..schema import LEDGER_SCHEMA, REJECT_SCHEMA
 from ..session import require_utc
 from ..sources.log import number_rows
-from ..sources.paths import exists
+from ..sources.paths import exists, file_size
 from ..sources.table import append_new, read_telemetry, table_metadata
 
 
@@ -36,8 +40,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
-    """All rejected lines stored by the stream."""
-    return spark.read.parquet(f"{path}/*/*")
+    """All rejected lines stored by the stream; none if there was none yet."""
+    if not exists(spark, f"{path}/*/*"):
+        return spark.createDataFrame([], REJECT_SCHEMA)
+    return spark.read.schema(REJECT_SCHEMA).parquet(f"{path}/*/*")
 
 
 def with_arrival_id(lines: DataFrame, first_id: int) -> DataFrame:
@@ -77,10 +83,13 @@ class IngestSink:
         self.table, self.rejects, self.ledger = table, rejects, ledger
         self.key, self.strict = key, strict
         self.next_id: int | None = None  # read from the table when a run starts
+        self.run: str | None = None  # name of a run without a stream
 
     def __call__(self, lines: DataFrame, batch_id: int) -> None:
         spark = lines.sparkSession
-        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        run = self.run or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not run:
+            raise ValueError("use ingest_batch for lines that are no stream")
         ingest_id = f"{run}/{batch_id}"
         if self.next_id is None:
             self.next_id = self._first_free_id(spark, ingest_id)
@@ -151,12 +160,13 @@ def start_ingest(
 
 
 def ingest_once(
-    lines: DataFrame | None, sink: IngestSink, checkpoint: str, repeat: bool = False
+    lines: DataFrame | None, sink: IngestSink, checkpoint: str, repeat: bool = True
 ) -> dict:
     """One cycle: take in what is there, then report on it.
 
     `lines` None stands for a log that does not exist yet. A tail with bounded batches
-    takes one batch per run; `repeat` runs again until nothing is left.
+    takes one batch per run, so it runs again until nothing is left; `repeat=False` takes one.
+    A cycle that fails leaves a row with its error in the ledger.
     """
     if lines is None:
         return cycle_status(None)
@@ -166,6 +176,8 @@ def ingest_once(
         try:
             query.awaitTermination()
         except StreamingQueryException as e:  # an outcome of a cycle like any other
+            if sink.ledger:
+                record_failure(lines.sparkSession, sink, f"{query.id}", str(e))
             return {**cycle_status(progress), "status": "error", "error": str(e)}
         steps = [p for p in query.recentProgress if p["numInputRows"] > 0]
         progress += steps
@@ -173,6 +185,8 @@ def ingest_once(
         if not (repeat and steps):
             break
     report = cycle_status(progress)
+    if progress:
+        report["new_offset"] = _position(progress[-1])
     if done and sink.ledger:
         ledger = read_ledger(lines.sparkSession, sink.ledger)
         row = ledger.filter(F.col("ingest_id").isin(done)).agg(
@@ -182,6 +196,16 @@ def ingest_once(
     return report
 
 
+def _position(step) -> int | None:
+    """The log position that a batch of a tailed file ended at; None for other sources."""
+    try:
+        offset = step["sources"][0]["endOffset"]
+        offset = json.loads(offset) if isinstance(offset, str) else offset
+        return int(offset["position"])
+    except (KeyError, IndexError, TypeError, ValueError):
+        return None
+
+
 def cycle_status(progress: list | None) -> dict:
     """What a cycle came to: `waiting_for_file`, `up_to_date` or `success`."""
     report = {"status": "waiting_for_file", "file_exists": False}
@@ -192,14 +216,26 @@ def cycle_status(progress: list | None) -> dict:
     return {"lines_read": 0, "records_inserted": 0, "errors": 0, **report}
 
 
-def ingest_report(spark: SparkSession, sink: IngestSink, query: StreamingQuery | None = None) -> DataFrame:
-    """Table facts and ledger totals side by side: one row."""
+def ingest_report(
+    spark: SparkSession, sink: IngestSink, query: StreamingQuery | None = None, log: str | None = None
+) -> DataFrame:
+    """Table facts, ledger totals and, if named, facts of the log side by side: one row.
+
+    Without any ingestion on record, the last imported time is the table's newest.
+    """
+    size = file_size(spark, log) if log else None
     totals = ingest_status(read_ledger(spark, sink.ledger))
     facts = table_metadata(spark, sink.table)
     running = F.lit(bool(query is not None and query.isActive))
     return totals.withColumns(
         {
             "running": running,
+            "log_location": F.lit(log).cast("string"),
+            "log_exists": F.lit(size is not None),
+            "log_size_bytes": F.lit(size).cast("bigint"),
+            "last_imported_timestamp": F.coalesce(
+                "last_imported_timestamp", iso_text(facts.select("latest").scalar())
+            ),
             "table_location": F.lit(sink.table),
             **{
                 c: facts.select(c).scalar()
@@ -209,9 +245,25 @@ def ingest_report(spark: SparkSession, sink: IngestSink, query: StreamingQuery |
     )
 
 
-def ingest_batch(lines: DataFrame, sink: IngestSink, batch_id: int = 0) -> None:
-    """The same work for lines read in batch."""
-    sink(lines, batch_id)
+def record_failure(spark: SparkSession, sink: IngestSink, run: str, error: str) -> None:
+    """A ledger row for a cycle that failed: one error and its text."""
+    name = f"failed-{uuid.uuid4().hex}"
+    values = [(f"{run}/{name}", None, 0, 0, 1, None, error[:2000], None)]
+    row = spark.createDataFrame(values, LEDGER_SCHEMA).withColumn("polled_at", F.current_timestamp())
+    row.coalesce(1).write.mode("overwrite").parquet(f"{sink.ledger}/run={run}/batch={name}")
+
+
+def ingest_batch(lines: DataFrame, sink: IngestSink, run: str | None = None, batch_id: int = 0) -> str:
+    """The same work for lines read in batch; returns the name of the run.
+
+    Every call is a run of its own. Give the name of an earlier run to repeat that one after a failure.
+    """
+    sink.run = run or f"batch-{uuid.uuid4().hex}"
+    try:
+        sink(lines, batch_id)
+        return sink.run
+    finally:
+        sink.run = None
 
 
 __all__ = [
@@ -221,6 +273,7 @@ __all__ = [
     "ingest_once",
     "ingest_report",
     "read_ledger",
+    "record_failure",
     "read_rejects",
     "start_ingest",
     "with_arrival_id",

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from linkpulse.operators import select, stats
 from linkpulse.operators.ingest import accepted, label, parse_lines
 from linkpulse.schema import RECORD_SCHEMA
 from linkpulse.sources.log import log_stats, log_tail, read_log, reset_log, stream_log, tail_log, write_log
@@ -31,7 +32,7 @@ class Site:
         with open(self.log, mode, encoding="utf-8") as f:
             f.write("\n".join(lines) + end)
 
-    def cycle(self, repeat=False, **options):
+    def cycle(self, repeat=True, **options):
         lines = tail_log(self.spark, str(self.log), **options)
         return ingest_once(lines, self.sink, str(self.folder / "checkpoint"), repeat)
 
@@ -54,10 +55,10 @@ def at(second, router="R1", **changes):
 
 def test_incremental_cycles(site):
     assert outcome(site.cycle()) == ("waiting_for_file", 0, 0, 0)
-    site.write(at(1, latency=12), at(1, "R2", latency=15), at(2, latency=13), at(2, "R2", latency=16))
+    site.write(*[at(s, r) for s in (11, 42) for r in ("R1", "R2")])
     assert outcome(site.cycle()) == ("success", 4, 4, 0)
     assert outcome(site.cycle()) == ("up_to_date", 0, 0, 0)
-    site.write(at(3, "R3"), at(4, "R3"), mode="a")
+    site.write(at(43, "R3"), at(44, "R3"), mode="a")
     site.restart()
     assert outcome(site.cycle()) == ("success", 2, 2, 0)
     facts = table_metadata(site.spark, site.sink.table).first()
@@ -70,7 +71,7 @@ def test_incremental_cycles(site):
 
 
 def test_malformed_lines_and_blank_lines(site):
-    site.write(at(1), "{NOT_VALID_JSON: true", '{"incomplete":"record"}', "", "[1]", at(2))
+    site.write(at(1), at(5)[:-9], '{"router_id": "R1"}', "", "[1]", at(2))
     assert outcome(site.cycle()) == ("success", 6, 2, 3)
     reasons = {r.reject_reason for r in read_rejects(site.spark, site.sink.rejects).collect()}
     assert reasons == {"JSONDecodeError", "timestamp: missing", "not_object"}
@@ -104,7 +105,7 @@ def test_many_ranges_and_bounded_batches(site):
     site.write(*lines[:10])
     site.cycle(split_bytes=100)
     site.write(*lines[10:], mode="a")
-    report = site.cycle(repeat=True, split_bytes=997, max_bytes_per_batch=20_000)
+    report = site.cycle(split_bytes=997, max_bytes_per_batch=20_000)
     assert outcome(report) == ("success", 490, 490, 0)
     ids = [r.id for r in site.table().orderBy(F.substring("router_id", 2, 9).cast("int")).collect()]
     assert len(set(ids)) == 500 and ids == sorted(ids)
@@ -133,7 +134,7 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     lines = raw(spark, [at(1), at(2), "{", at(2)])
     for _ in range(2):
         # A new sink stands for a restart; the first try got as far as the ledger.
-        ingest_batch(lines, IngestSink(*paths), 7)
+        ingest_batch(lines, IngestSink(*paths), "run-7", 7)
     assert read_telemetry(spark, paths[0]).count() == 2
     assert read_rejects(spark, paths[1]).count() == 1
     ledger = read_ledger(spark, paths[2]).collect()
@@ -158,8 +159,7 @@ def test_append_new_counts_and_keys(spark, tmp_path):
         append_new(batch(other), path, key="latency")
 
 
-def test_many_dates_use_a_range(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("linkpulse.sources.table.MAX_LISTED_DATES", 2)
+def test_many_dates(spark, tmp_path):
     days = [line(timestamp=f"2026-10-0{d}T00:00:00Z") for d in range(1, 6)] + [line(timestamp="x")]
     batch = with_arrival_id(accepted(label(parse_lines(raw(spark, days)))), 1)
     path = str(tmp_path / "t")
@@ -167,6 +167,56 @@ def test_many_dates_use_a_range(spark, tmp_path, monkeypatch):
     assert append_new(batch, path) == 0
 
 
+def test_stored_dates_are_pruned(spark, tmp_path):
+    days = [line(timestamp=f"2026-10-0{d}T00:00:00Z") for d in range(1, 6)]
+    path = str(tmp_path / "t")
+    append_new(with_arrival_id(accepted(label(parse_lines(raw(spark, days)))), 1), path)
+    table = read_telemetry(spark, path)
+    for df in (select.recent(table, minutes=60, as_of="2026-10-05 00:30:00"), select.latest(table, 2), stats.stats(table, minutes=60, as_of="2026-10-05 00:30:00")):
+        filters = [x for x in df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1:] if not x.startswith("[]")]
+        assert any("event_date" in x.split("]")[0] for x in filters)
+    assert select.recent(table, minutes=60, as_of="2026-10-05 00:30:00").count() == 1
+    assert [r.timestamp[:10] for r in select.latest(table, 2).collect()] == ["2026-10-05", "2026-10-04"]
+
+
+def test_batch_runs_are_apart(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in ("table", "rejects", "ledger")]
+    assert read_rejects(spark, paths[1]).count() == 0
+    for lines in ([at(1), "{broken"], [at(2), "[]"]):
+        ingest_batch(raw(spark, lines), IngestSink(*paths))
+    assert {r.id for r in read_telemetry(spark, paths[0]).collect()} == {1, 2}
+    assert {r.value for r in read_rejects(spark, paths[1]).collect()} == {"{broken", "[]"}
+    assert sorted((r.lines_read, r.inserted, r.errors) for r in read_ledger(spark, paths[2]).collect()) == [(2, 1, 1)] * 2
+
+
+def test_log_replaced_under_an_equal_beginning(site):
+    same = [at(s % 60, f"R{s}") for s in range(60)]
+    site.write(*same, *[at(1, f"A{s}") for s in range(40)])
+    site.cycle()
+    # As long as before, the same first bytes, other lines after them.
+    site.write(*same, *[at(1, f"B{s}") for s in range(60)])
+    assert outcome(site.cycle()) == ("success", 120, 60, 0)
+    assert site.table().filter("router_id like 'B%'").count() == 60
+
+
+def test_first_batch_of_a_backlog_is_bounded(site):
+    site.write(*[at(s % 60, f"R{s}") for s in range(300)])
+    size = site.log.stat().st_size // 300
+    assert 25 <= site.cycle(repeat=False, max_bytes_per_batch=30 * size)["lines_read"] <= 32
+    site.restart()
+    assert outcome(site.cycle(max_bytes_per_batch=100 * size))[0] == "success"
+    assert site.table().count() == 300
+    assert max(r.lines_read for r in read_ledger(site.spark, site.sink.ledger).collect()) <= 102
+
+
+def test_failed_cycle_is_counted(site):
+    site.write(at(1))
+    site.sink.key = "latency"
+    assert site.cycle()["status"] == "error"
+    row = ingest_report(site.spark, site.sink).first()
+    assert row.last_error
+
+
 def test_part_file_stream(spark, tmp_path):
     folder = tmp_path / "logs"
     sink = IngestSink(*(str(tmp_path / n) for n in ("table", "rejects", "ledger")))

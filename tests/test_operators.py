@@ -6,10 +6,10 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from linkpulse.functions import clamp_limit
-from linkpulse.operators import faults, health, ledger, registry, select, stats, timeline
-from linkpulse.schema import FAULT_TYPES, LATEST_LIMIT, LEDGER_SCHEMA, METRICS, RECENT_LIMIT
-from tests.helpers import telemetry
+from linkpulse.functions import plain_number, round_dp, row_count
+from linkpulse.operators import faults, health, ledger, registry, select, series, stats, timeline
+from linkpulse.schema import FAULT_TYPES, LATEST_ROWS, LEDGER_SCHEMA, METRICS
+from tests.helpers import sample_metrics, telemetry
 
 T0 = datetime(2026, 10, 8, 10, 0, 0)
 
@@ -50,9 +50,9 @@ def test_windows(three):
     assert select.recent(three, 0).count() == 3 and select.recent(three, router_id="").count() == 3
     assert stats.stats(three, 1, as_of).first().time_window_minutes == 1
     assert select.recent(three, 5).count() == 0  # counted back from now
-    for wrong in (-1, 1441):
-        with pytest.raises(ValueError):
-            select.recent(three, wrong)
+    assert select.recent(three, 20_000, as_of=as_of).count() == 3
+    with pytest.raises(ValueError):
+        select.recent(three, -1)
 
 
 def test_empty_input(three):
@@ -68,8 +68,26 @@ def test_empty_input(three):
 
 
 def test_limits():
-    assert [clamp_limit(n, LATEST_LIMIT) for n in (None, 0, -5, 7, 5000)] == [50, 1, 1, 7, 1000]
-    assert clamp_limit(9999, RECENT_LIMIT) == 2000
+    assert [row_count(n, LATEST_ROWS) for n in (None, 1, 7, 5000)] == [50, 1, 7, 5000]
+    for n in (0, -5):
+        with pytest.raises(ValueError):
+            row_count(n, LATEST_ROWS)
+
+
+def test_no_row_is_cut_off(spark):
+    many = spark.range(3000).selectExpr("id", "'R1' router_id", "timestamp'2026-10-08 10:00:00' + make_dt_interval(0, 0, 0, id) event_time")
+    assert select.latest(many, 2500).count() == 2500
+    assert select.recent(many, minutes=30, n=5000, as_of="2026-10-08 11:00:00").count() == 1200
+    assert select.history_per_router(many, 2900).count() == 2900
+
+
+def test_numbers(spark):
+    values = [0.0005, 12345678.5, 40.0, -0.00025, 1e13, 123.456, 0.0, 3e-5, 1e300, 1e-9]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(plain_number("x").alias("t"), "x").collect()
+    assert [r.t for r in got[:8]] == ["0.0005", "12345678.5", "40", "-0.00025", "10000000000000", "123.456", "0", "0.00003"]
+    assert all(float(r.t) == r.x for r in got)
+    big = spark.createDataFrame([(1e13 + 0.126,), (1e40,)], "x double").select(round_dp("x", 2).alias("y")).collect()
+    assert [r.y for r in big] == [round(1e13 + 0.126, 2), 1e40]
 
 
 def test_newest_with_ties_and_rows_without_time(spark):
@@ -103,8 +121,10 @@ def test_newest_per_router_against_brute_force(spark):
 
 def test_event_lines(three):
     lines = [r.line for r in select.event_lines(three).orderBy("id").collect()]
+    own = sample_metrics()
     assert lines[0] == (
-        "[10:00:00Z] R1 10ms | 0.05% | 1.2ms | BW:45% | CPU:32.5% | MEM:40% [NOMINAL]"
+        f"[10:00:00Z] R1 10ms | {own['packet_loss']}% | {own['jitter']}ms | BW:{own['bandwidth_usage']}% |"
+        f" CPU:{own['cpu_usage']}% | MEM:{own['memory_usage']}% [NOMINAL]"
     )
     assert lines[2].endswith("[FAULT: Latency Spike]")
 
@@ -152,8 +172,8 @@ def test_schedule_names_and_expiry(spark):
 def test_registry_view_keeps_silent_routers(spark, three):
     reg = spark.createDataFrame([("R2", "b"), ("R9", "c")], "router_id string, name string")
     sched = spark.createDataFrame(
-        [("R2", T0, 1e6, "High Jitter", "Low")],
-        "router_id string, started_at timestamp, duration_s double, fault_type string, intensity string",
+        [(1, "R2", T0, 1e6, "High Jitter", "Low")],
+        "seq long, router_id string, started_at timestamp, duration_s double, fault_type string, intensity string",
     )
     active = registry.active_faults(sched, "2026-10-08 10:05:00")
     view = {r.router_id: r for r in registry.registry_view(reg, active, registry.router_states(three)).collect()}
@@ -227,51 +247,68 @@ def test_fault_asof(spark, bucket):
 # --- Faults and health ---
 
 
-def test_overlay_and_classification_agree(spark):
-    """Every scheduled fault, at every intensity, is recognised from the rewritten metrics."""
-    cases = [(f, i) for f in FAULT_TYPES for i in ("Low", "Medium", "High")]
-    routers = [f"R{n}" for n in range(1, len(cases) + 1)]
-    base = {r.router_id: r for r in faults.baseline(
-        spark.createDataFrame([(r,) for r in routers], "router_id string")).collect()}
-    assert base["R12"].base_latency == pytest.approx(12 + (181 % 7) * 0.8)
-    rows = telemetry(spark, [(n, r, "2026-10-08T10:00:30Z", base[r].base_latency) for n, r in enumerate(routers)])
+def _faulted_fleet(spark):
+    """Two routers at different levels; faults raise them by known amounts."""
+    normal = {"A": (10.0, 0.5, 2.0, 30.0, 20.0, 40.0), "B": (40.0, 1.0, 4.0, 50.0, 60.0, 50.0)}
+    raised = {"Latency Spike": (60.0, 0, 1.0, 0, 0, 0), "High Jitter": (20.0, 0, 30.0, 0, 0, 0), "CPU Overload": (5.0, 0, 0, 0, 38.0, 0)}
+    rows, n = [], 0
+    for router, level in normal.items():
+        for wobble in (-1.0, 1.0):
+            rows.append((n := n + 1, router, T0, *[v + wobble * 0.1 for v in level], "ACTIVE", None))
+        for fault, rise in raised.items():
+            rows.append((n := n + 1, router, T0, *[v + r for v, r in zip(level, rise)], "FAULTED", fault))
+    schema = "id long, router_id string, event_time timestamp, " + ", ".join(f"{m} double" for m in METRICS) + ", status string, active_fault string"
+    return spark.createDataFrame(rows, schema), normal, raised
+
+
+def test_levels_come_from_fault_free_records(spark):
+    df, normal, raised = _faulted_fleet(spark)
+    for r in faults.baseline(df).collect():
+        assert [r[f"base_{m}"] for m in METRICS] == pytest.approx(list(normal[r.router_id]))
+        assert r.spread_latency == pytest.approx(0.1)
+    for r in faults.fault_effects(df).collect():
+        assert [r[f"effect_{m}"] for m in METRICS] == pytest.approx(list(raised[r.fault_type])) and r.records == 2
+
+
+def test_classification_and_overlay(spark):
+    df, normal, raised = _faulted_fleet(spark)
+    seen = {(r.router_id, r.active_fault): r.predicted_fault for r in faults.classify_fault(df).collect()}
+    assert all(seen[x, f] == f for x in "A" for f in ("Latency Spike", "High Jitter", None))
+    assert seen["B", "CPU Overload"] == "CPU Overload" and seen["B", None] is None
+    assert faults.confusion(faults.classify_fault(df)).filter("active_fault is null and predicted_fault is null").first().records == 4
     sched = spark.createDataFrame(
-        [(n, r, T0, 60.0, f, i) for n, (r, (f, i)) in enumerate(zip(routers, cases))],
+        [(1, "A", T0 - timedelta(seconds=5), 60.0, "CPU Overload", "High"), (2, "B", T0 - timedelta(seconds=90), 60.0, "High Jitter", "Low")],
         "seq long, router_id string, started_at timestamp, duration_s double, fault_type string, intensity string",
     )
-    hit = faults.classify_fault(faults.apply_faults(rows, sched)).collect()
-    assert len(hit) == len(cases)
-    assert all(r.predicted_fault == r.active_fault and r.status == "FAULTED" for r in hit)
-    assert all(r.predicted_fault is None for r in faults.classify_fault(rows).collect())
-    wrong = faults.confusion(faults.classify_fault(faults.apply_faults(rows, sched))).filter(
-        "active_fault <> predicted_fault"
-    )
-    assert wrong.count() == 0
-
-
-def _noise_corners():
-    """Corners of each fault's noise range: (fault, metric deltas over the baseline or levels)."""
-    ranges = {
-        "Latency Spike": [("latency", 125, 185), ("jitter", 10, 20), ("packet_loss", 0.3, 0.8)],
-        "Packet Loss Spike": [("packet_loss", 10, 20), ("latency", 15, 28), ("jitter", 5, 10)],
-        "High Jitter": [("jitter", 26, 47), ("latency", 25, 60)],
-    }
-    for fault, parts in ranges.items():
-        for factor in (0.4, 0.7, 1.0):
-            for ends in itertools.product(*[(lo, hi) for _, lo, hi in parts]):
-                yield fault, {m: e * factor for (m, _, _), e in zip(parts, ends)}
-
-
-def test_classification_on_noise_corners(spark):
-    corners = list(_noise_corners())
-    base = faults.baseline(spark.createDataFrame([("R12",)], "router_id string")).first()
-    rows = []
-    for n, (fault, delta) in enumerate(corners):
-        values = [base[f"base_{m}"] + delta.get(m, 0.0) for m in METRICS]
-        rows.append((n, "R12", *values, "FAULTED", fault))
-    schema = "id long, router_id string, " + ", ".join(f"{m} double" for m in METRICS) + ", status string, active_fault string"
-    got = faults.classify_fault(spark.createDataFrame(rows, schema)).collect()
-    assert [(r.active_fault, r.predicted_fault) for r in got if r.active_fault != r.predicted_fault] == []
+    calm = df.filter("active_fault is null")
+    over = {r.id: r for r in faults.apply_faults(df, sched).collect()}
+    for r in calm.collect():
+        hit = over[r.id]
+        if r.router_id == "A":
+            assert hit.cpu_usage == pytest.approx(r.cpu_usage + 38) and hit.active_fault == "CPU Overload"
+        else:
+            assert hit.cpu_usage == r.cpu_usage and hit.active_fault is None
+    assert max(r.cpu_usage for r in over.values()) <= 100
+
+
+def test_load_profile(spark):
+    df, *_ = _faulted_fleet(spark)
+    got = {r.band: r.records for r in faults.load_profile(df).collect()}
+    assert got == {20: 1, 30: 4, 40: 1, 50: 4}
+
+
+def test_series_keeps_unregistered_routers(spark, three):
+    reg = registry.clean_registry(spark.createDataFrame([("r1 ", "a", "CORE"), ("R1", "b", "EDGE")], "router_id string, name string, role string"))
+    assert reg.count() == 1
+    got = series.perf_series(three, "latency", registry=reg).collect()
+    assert {(r.role, r.samples) for r in got} == {("EDGE", 2), (None, 1)}
+
+
+def test_episodes_cost_grows_with_the_rows(spark):
+    """No frame looks ahead to the end of a line: that would cost the square of a router's rows."""
+    df = spark.range(10).selectExpr("id", "'R1' router_id", "timestamp'2026-10-08 10:00:00' + make_dt_interval(0, id) event_time", "if(id % 2 = 0, 'x', null) active_fault")
+    text = timeline.fault_episodes(df)._jdf.queryExecution().executedPlan().toString()
+    assert "1, unboundedfollowing" not in text.lower() and "currentrow$(), unboundedfollowing" not in text.lower()
 
 
 @pytest.fixture(scope="module")

@@ -28,7 +28,7 @@ def test_malformed_json(spark):
     got = verdicts(
         spark,
         [
-            line(), "{NOT_VALID_JSON: true", '{"incomplete":"record"}', line(), "[1, 2]", "7", '"text"',
+            line(), line()[1:], '{"router_id": "R1"}', line(), "[1, 2]", "7", '"text"',
             "null", line() + " x", line() + line(), line() + ", {}", "[" + line() + "]", "{}",
             line()[:-1],
         ],
@@ -53,21 +53,21 @@ def test_space_around_the_line(spark):
 
 def test_lax_numbers(spark):
     lines = [
-        line(latency="14.5"), line(latency=" 1e2 "), line(latency=True), line(latency=7),
-        line(latency="14.5d"), line(latency="abc"), line(latency=None), line(latency=[1]),
+        line(latency="7.25"), line(latency=" 1e2 "), line(latency=True), line(latency=7),
+        line(latency="7.25d"), line(latency="abc"), line(latency=None), line(latency=[1]),
         line(latency={}), line(latency=""),
     ]
     df = label(parse_lines(raw(spark, lines))).orderBy("src_pos")
     got = [(r["latency"], r["reject_reason"]) for r in df.collect()]
     bad = "latency: not_a_number"
-    assert got[:4] == [(14.5, None), (100.0, None), (1.0, None), (7.0, None)]
+    assert got[:4] == [(7.25, None), (100.0, None), (1.0, None), (7.0, None)]
     assert [reason for _, reason in got[4:]] == [bad] * 6
 
 
 def test_non_finite_numbers(spark):
     lines = [
         line(latency=float("nan")), line(latency=float("inf")), line(cpu_usage=float("-inf")),
-        line().replace("14.5", "1e400"), line(latency="nan"), line(jitter="-Infinity"),
+        line(latency=-77.5).replace("-77.5", "1e400"), line(latency="nan"), line(jitter="-Infinity"),
         line(active_fault="a: NaN, b"), '{"x": NaN',
     ]
     assert verdicts(spark, lines) == [
@@ -105,7 +105,7 @@ def test_first_broken_field_decides(spark):
 
 
 def test_duplicate_key_last_wins(spark):
-    text = line().replace('"latency": 14.5', '"latency": 1.0, "latency": 2.0')
+    text = line(latency=-77.5).replace('"latency": -77.5', '"latency": 1.0, "latency": 2.0')
     assert label(parse_lines(raw(spark, [text]))).first().latency == 2.0
 
 
