@@ -140,5 +140,5 @@ def exact_copies(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents that have a line twice, with every line once."""
     lines = F.split("text", "\n")
-    cut = docs.withColumn("text", F.array_join(F.array_distinct(lines), "\n")).withColumn("__was", F.size(lines))
+    cut = docs.withColumns({"text": F.array_join(F.array_distinct(lines), "\n"), "__was": F.size(lines)})
     return cut.filter(F.size(F.split("text", "\n")) < F.col("__was")).drop("__was")
