@@ -1,6 +1,7 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Features are hashed words and word beginnings (4 to 8 bytes), as log(1 + count). Grades run from 0 (clean) to 3. The labels say
+Features are hashed words and word beginnings (4 to 8 bytes), as log(1 + count), counts
+up to two. Grades run from 0 (clean) to 3. The labels say
 only toxic or not, so a toxic training document gets its grade from how large a share of its words has a feature that is
 frequent in toxic and rare in clean training documents: below the first third of toxic documents 1, below the
 second 2, else 3. One weight vector serves all thresholds: P(grade > k) = sigmoid(w.x - theta_k) with
@@ -30,8 +31,10 @@ FEATURE_BITS = 20
 BEGINNINGS = (4, 5, 6, 7, 8)
 GRADES = 3
 SAMPLE = 4_000
-#: Features kept: most telling first, each in at least so many toxic training documents.
-MOST_FEATURES, LEAST_DOCS = 4_096, 3
+#: Features kept: most telling first, each in at least so many toxic training documents, and so many times likelier there.
+MOST_FEATURES, LEAST_DOCS, LEAST_RATIO = 16_384, 2, 3
+#: A feature counts up to so many times in a document, so that a word said over and over weighs little.
+MOST_TIMES = 2
 EPOCHS, RATE, DECAY = 400, 0.05, 2e-3
 
 _IN_WORD = np.zeros(256, bool)
@@ -93,7 +96,7 @@ class Ordinal:
         if len(self.kept) and len(ids):
             at = np.minimum(np.searchsorted(self.kept, ids), len(self.kept) - 1)
             hit = self.kept[at] == ids
-            np.add.at(value, row[hit], self.weights[at[hit]] * np.log1p(count[hit]))
+            np.add.at(value, row[hit], self.weights[at[hit]] * np.log1p(np.minimum(count[hit], MOST_TIMES)))
         return 1 / (1 + np.exp(-np.clip(value[:, None] - self.thresholds[None, :], -50, 50)))
 
 
@@ -107,13 +110,13 @@ def fit_ordinal(row: np.ndarray, ids: np.ndarray, count: np.ndarray, words: np.n
     with_clean = np.bincount(at[~positive[row]], minlength=len(names))
     p, q = (with_toxic + 0.5) / (positive.sum() + 1), (with_clean + 0.5) / ((~positive).sum() + 1)
     tell = np.where(with_toxic >= LEAST_DOCS, p * np.log(p / q), -1)
-    good = np.flatnonzero(tell > 0)
+    good = np.flatnonzero((tell > 0) & (p / q > LEAST_RATIO))
     good = np.sort(good[np.argsort(-tell[good], kind="stable")[:MOST_FEATURES]])
     place = np.full(len(names), -1)
     place[good] = np.arange(len(good))
     col = place[at]
     use = col >= 0
-    r, c, v = row[use], col[use], np.log1p(count[use])
+    r, c, v = row[use], col[use], np.log1p(np.minimum(count[use], MOST_TIMES))
     strong = (p / q > 8)[good]
     share = np.bincount(r, weights=np.minimum(count[use], 50) * strong[c], minlength=n) / np.maximum(words, 1)
     cuts = np.quantile(share[positive], [1 / 3, 2 / 3])
