@@ -57,3 +57,24 @@ def without(df: DataFrame, names) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of the map by which rows are thinned out before a join, a fixed 2 MB.
+MAP_BITS = 1 << 24
+_PART_BITS = 8 * 4096  # of one `bitmap_construct_agg`
+
+
+def maybe_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """`rows` less most of those whose `key` is not in `keys`; the join that follows decides.
+
+    A map of hashed keys, of a fixed size whatever their number, is broadcast, so that rows that
+    cannot join are not shuffled. With very many keys it fills up and lets all rows pass.
+    """
+    place = lambda name: F.pmod(F.xxhash64(name), F.lit(MAP_BITS))
+    parts = keys.select(place(key).alias("p")).groupBy(F.floor(F.col("p") / _PART_BITS).alias("__part")).agg(
+        F.bitmap_construct_agg(F.col("p") % _PART_BITS).alias("__map")
+    )
+    at = rows.withColumn("__part", F.floor(place(key) / _PART_BITS)).withColumn("__at", place(key) % _PART_BITS)
+    byte = "cast(conv(hex(substring(__map, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)"
+    near = at.join(F.broadcast(parts), "__part").filter(f"(shiftright({byte}, cast(__at % 8 as int)) & 1) = 1")
+    return near.drop("__part", "__at", "__map")

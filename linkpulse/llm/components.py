@@ -14,6 +14,13 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every edge leads straight to the least node of its component: no node is at both ends, or has two edges up."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e"))
+    seen = ends.groupBy("e.x").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("root"))
+    return seen.filter("ups > 1 OR (ups = 1 AND root = 0)").limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """`(node, label)` of every node of the edges `(a, b)`: the label is the least node of its component.
 
@@ -24,20 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    mark = None
-    while True:
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark or new[0] == 0:
-            break
-        mark = new
+    while not _all_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _with_least(large.filter("u > v"))
-        now = stored(
-            small.select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small.select("u", F.col("m").alias("v")))
-            .distinct(),
-            "edges",
-        )
+        up = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        now = stored(small.select(up.alias("e")).select("e.u", "e.v").filter("u <> v").distinct(), "edges")
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

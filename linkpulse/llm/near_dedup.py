@@ -6,12 +6,14 @@ fixed order, so that short texts match as long ones do. Bands of `BAND` register
 over all registers, corrected for values that agree by chance in so few bits, sorts out the bulk of false ones; what is
 left is confirmed on the full sets.
 
-At similarity 0.8 a pair misses all 32 bands with a chance of 5e-8, and a true pair falls below `LEAST_ESTIMATE`
-with a chance below 1e-9.
+At similarity 0.8 a pair misses all 42 bands with a chance of 3e-6, and a true pair falls below `LEAST_ESTIMATE`
+with a chance below 1e-8.
 
 Groups are not expanded into pairs. Texts with equal sets are one class from the start. Each bucket compares its
-members with one of them only; after that, members in other components than the rest are compared: with a random
-member while that leaves many, then with every member of another component. No candidate is dropped.
+members with one of them only. Buckets that then still hold several components are looked at again, without those members that
+share too few shingles with any other to be linked at all. A member outside its bucket's largest component is compared
+with all of that component and with the bucket's other such members, in blocks: tasks hold bounded blocks of full
+sets and return links only. No candidate that could be a link is dropped.
 
 Defined results: texts without words and null texts have an empty set and link with nothing. A row without an id links with nothing,
 has no component and is kept. Repeated rows fall into one class. An empty table gives an empty result.
@@ -25,17 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_of
+from .common import maybe_among, stored, text_of
 from .components import components
 from .words import LOWER, flat, mix, row_chunks, word_hashes
 
-REGISTERS, BAND, MANTISSA = 128, 4, 10
-LEAST_ESTIMATE = 0.55
+REGISTERS, BAND, MANTISSA = 256, 6, 10
+LEAST_ESTIMATE = 0.65
 PERCENT = 80
 WIDTH = 5
-#: Random comparisons go on while buckets hold more open pairs than this many for each node.
-OPEN_PAIRS_PER_NODE = 4
-MOST_RANDOM_ROUNDS = 6
+#: Shingles that one side of a block holds, about.
+BLOCK_SHINGLES = 400_000
 
 _VALUE_BITS = 64 - int(np.log2(REGISTERS))
 _PROBES = np.random.Generator(np.random.PCG64(7)).integers(0, REGISTERS, (512, REGISTERS))
@@ -61,10 +62,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
             own = np.sort(acc[a : a + n - width + 1])
             own = own[np.concatenate(([True], own[1:] != own[:-1]))]
         elif n:
-            whole = np.uint64(n)
+            own = np.array([n], np.uint64)
             for h in hashes[a : a + n]:
-                whole = mix(np.array([whole * np.uint64(0x2545F4914F6CDD1D) + h]))[0]
-            own = np.array([whole], np.uint64)
+                own = mix(own * np.uint64(0x2545F4914F6CDD1D) + h)
         else:
             own = hashes[:0]
         out.append(own)
@@ -127,15 +127,21 @@ def _sketch_udf(width: int):
     return sketch
 
 
+_SET = T.StructType([T.StructField("s", T.ArrayType(T.LongType())), T.StructField("registers", T.BinaryType())])
+
+
 def _set_udf(width: int):
-    @F.arrow_udf(T.BinaryType())
+    @F.arrow_udf(_SET)
     def full_set(texts: pa.Array) -> pa.Array:
         data, offsets = flat(texts)
-        out = []
+        values, ends, regs = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [np.zeros((0, REGISTERS), np.uint16)]
         for i, j in row_chunks(offsets):
             sets, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-            out += [sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.array(out, pa.binary())
+            values.append(sets)
+            ends.append(at[1:] + ends[-1][-1])
+            regs.append(registers_of(sets, at))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(values).view(np.int64)))
+        return pa.StructArray.from_arrays([lists, _binary(np.concatenate(regs))], ["s", "registers"])
 
     return full_set
 
@@ -153,16 +159,6 @@ def _estimate_udf(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.
     return pa.array((equal - chance) / (1 - chance))
 
 
-@F.arrow_udf(T.LongType())
-def _common_udf(a: pa.Array, b: pa.Array) -> pa.Array:
-    """How many shingles two full sets share."""
-    out = [
-        len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)
-    ]
-    return pa.array(out, pa.int64())
-
-
 class _Classes:
     """One row per distinct shingle set, led by its smallest document id, and the buckets with more than one."""
 
@@ -181,69 +177,110 @@ class _Classes:
             lambda i: F.xxhash64(i, F.substring("registers", i * (2 * BAND) + 1, F.lit(2 * BAND))),
         )
         rows = self.classes.select(F.explode(bands).alias("bucket"), "node", "n")
-        shared = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-        self.buckets = stored(rows.join(shared.select("bucket"), "bucket"), "buckets")
-
-    def centre_pairs(self, rows: DataFrame, order) -> DataFrame:
-        """Each row of a bucket with the bucket's first row by `order`."""
-        centre = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "n", *(["label"] if "label" in rows.columns else [])), order).alias("c"))
-        return rows.join(centre, "bucket").filter("node <> c.node")
-
-    def sized(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) whose sizes allow the similarity."""
-        fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * self.percent
-        return pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough."""
-        of = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-        likely = (
-            pairs.join(of("a"), "a").join(of("b"), "b")
-            .filter(_estimate_udf("r_a", "r_b", "n_a", "n_b") >= LEAST_ESTIMATE)
-            .select("a", "b").distinct()
-        )
-        likely = stored(likely, "candidates")
-        nodes = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        leaders = self.docs.select("doc_id", text_of(self.docs).alias("text")).join(nodes, "doc_id")
-        sets = stored(leaders.select("doc_id", _set_udf(self.width)("text").alias("s")), "sets")
-        of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s_{x}"))
-        both = likely.join(of("a"), "a").join(of("b"), "b")
-        size = lambda x: F.length(f"s_{x}") / 8
-        counted = both.select("a", "b", (size("a") + size("b")).alias("sizes"), _common_udf("s_a", "s_b").alias("common"))
-        return stored(
-            counted.filter(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * self.percent).select("a", "b").distinct(),
-            "links",
-        )
-
-    def labelled(self, labels: DataFrame) -> tuple[DataFrame, int]:
-        """Rows of buckets that still hold several components, and how many pairs are open there."""
-        rows = self.buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        shared = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("hi")).filter("centre <> hi")
+        self.buckets = stored(rows.join(shared.select("bucket", "centre"), "bucket"), "buckets")
+
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """The full sets and registers of some nodes, stored."""
+        docs = self.docs.select(F.col("doc_id").alias("node"), text_of(self.docs).alias("text"))
+        docs = maybe_among(docs, "node", nodes).join(nodes, "node")
+        return stored(docs.select("node", _set_udf(self.width)("text").alias("x")).select("node", "x.*"), "sets")
+
+    def centre_links(self) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) of members with the smallest id of a bucket of theirs; the full sets of all members."""
+        pairs = self.buckets.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+        pairs = stored(pairs, "pairs")
+        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        of = lambda x: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("s", "registers")])
+        size = lambda x: F.size(f"s_{x}").cast("long")
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        both = both.filter(F.least(size("a"), size("b")) * 100 >= F.greatest(size("a"), size("b")) * self.percent)
+        likely = both.filter(_estimate_udf("registers_a", "registers_b", size("a"), size("b")) >= LEAST_ESTIMATE)
+        common = F.size(F.array_intersect("s_a", "s_b"))
+        similar = common * 100 >= (size("a") + size("b") - common) * self.percent
+        return stored(likely.filter(similar).select("a", "b"), "links"), sets
+
+    def mixed(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Rows of buckets that hold several components, each with its label."""
+        rows = rows.select("bucket", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         rows = stored(rows, "labelled")
-        sizes = rows.groupBy("bucket", "label").agg(F.count("*").cast("double").alias("k"))
-        open_ = sizes.groupBy("bucket").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open"))
-        open_ = stored(open_.filter("open > 0"), "open")
-        total = open_.agg(F.coalesce(F.sum("open"), F.lit(0.0))).first()[0]
-        return rows.join(open_.select("bucket"), "bucket"), int(total)
+        several = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        return rows.join(several.select("bucket"), "bucket")
+
+    def eligible(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """The rows whose node shares enough shingles with other nodes of `rows` to be linked at all, with that number as `c`."""
+        each = sets.join(rows.select("node").distinct(), "node").select("node", F.explode("s").alias("x"))
+        alone = each.groupBy("x").agg(F.max("node").alias("hi"), F.min("node").alias("node")).filter("node = hi")
+        alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+        with_c = rows.join(alone, "node", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+        return with_c.filter(F.col("c") * 100 >= F.col("n") * self.percent)
 
     def labels(self) -> DataFrame:
         """`(node, label)` of all classes that are linked with another."""
-        c = self.centre_pairs(self.buckets, F.col("node"))
-        links = self.confirmed(self.sized(c.select(F.col("node").alias("a"), F.col("c.node").alias("b"), "n", F.col("c.n").alias("m"))))
-        nodes, turn, seen = self.classes.count(), 0, None
-        while True:
-            labels = stored(components(links), "labels")
-            rows, left = self.labelled(labels)
-            if not left or seen == "all":
-                return labels
-            if left > OPEN_PAIRS_PER_NODE * nodes and turn < MOST_RANDOM_ROUNDS:
-                turn += 1
-                c = self.centre_pairs(rows, F.xxhash64(F.lit(turn), "bucket", "node"))
-                pairs = c.filter("label <> c.label").select(F.col("node").alias("a"), F.col("c.node").alias("b"), "n", F.col("c.n").alias("m"))
-            else:
-                seen = "all"
-                other = rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-                pairs = rows.join(other, "bucket").filter("label < other").select(F.col("node").alias("a"), "b", "n", "m")
-            links = links.unionByName(self.confirmed(self.sized(pairs)))
+        links, sets = self.centre_links()
+        labels = stored(components(links), "labels")
+        rows = stored(self.mixed(self.buckets, labels), "mixed")
+        rows = stored(self.eligible(rows, sets).drop("c"), "eligible")
+        more = stored(self.open_links(rows, sets), "links")
+        return stored(components(links.unionByName(more)), "labels")
+
+    def open_links(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between different components of a bucket, each pair once or more."""
+        sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+        major = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("major"), F.count("*").alias("labels"))
+        minor = stored(rows.join(major, "bucket").filter("label <> major"), "minor")
+        inside = minor.filter("labels > 2").select(F.col("bucket").alias("key"), "node", "n", "label")
+        against = minor.select(F.col("major").alias("key"), "node", "n", "label").distinct()
+        members = rows.join(minor.select(F.col("major").alias("label")).distinct(), "label", "left_semi")
+        members = members.select(F.col("label").alias("key"), "node", "n", "label").distinct()
+        return self.block_links(inside, inside, sets).unionByName(self.block_links(against, members, sets))
+
+    def block_links(self, left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b) between left and right rows of one key that differ in label.
+
+        Each side of a key is cut into blocks of about BLOCK_SHINGLES; a task takes one block of each side.
+        """
+        blocks = lambda df, name: df.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias(name))
+        counts = stored(blocks(left, "nl").join(blocks(right, "nr"), "key"), "block-counts")
+
+        def dealt(df, own, other, side):
+            x = df.join(counts, "key").join(sets.select("node", "s"), "node")
+            mine = F.pmod(F.xxhash64("node"), F.col(own)).cast("int")
+            x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            i, j = (mine, F.col("o")) if side == 0 else (F.col("o"), mine)
+            return x.select("key", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "node", "label", "s")
+
+        both = dealt(left, "nl", "nr", 0).unionByName(dealt(right, "nr", "nl", 1))
+        return both.groupBy("key", "i", "j").applyInArrow(_block(self.percent), "a long, b long")
+
+
+def _block(percent: int):
+    def links(t: pa.Table) -> pa.Table:
+        """Pairs of a left and a right set that are similar enough and of different labels."""
+        side = t["side"].to_numpy()
+        node, label = t["node"].to_numpy(), t["label"].to_numpy()
+        lists = t["s"].combine_chunks()
+        at, flat_sets = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets = [flat_sets[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(left) and len(right):
+            sizes = np.array([len(sets[i]) for i in left])
+            all_left = np.concatenate([sets[i] for i in left])
+            order = np.argsort(all_left, kind="stable")
+            ordered, owner = all_left[order], np.repeat(np.arange(len(left)), sizes)[order]
+            for j in right:
+                lo, hi = np.searchsorted(ordered, sets[j], "left"), np.searchsorted(ordered, sets[j], "right")
+                runs = hi - lo
+                places = np.repeat(lo - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
+                common = np.bincount(owner[places], minlength=len(left))
+                good = (common * 100 >= (sizes + len(sets[j]) - common) * percent) & (label[left] != label[j])
+                out_a.append(node[left[good]])
+                out_b.append(np.full(int(good.sum()), node[j]))
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
