@@ -1,15 +1,18 @@
 """License scans: every text block that contains enough of a license template's words.
 
-An exact set-similarity join of text blocks (lines) with templates. A block matches a template when it holds at least
-`CONTAINMENT` percent of the template's distinct words. The words of all templates are put in the order of
-their frequency in the whole corpus, rare ones first. Then
+An exact set-similarity join of text blocks with templates. Blocks are the lines, the paragraphs (lines without a blank
+one between them, so hard-wrapped notices are whole), and, across blank lines, all runs of `SPAN` times as many words as
+the template has. A block matches a template when it holds at least `CONTAINMENT` percent of the template's distinct
+words. A paragraph or run is reported where it holds more than each matching block inside it. The words of all templates are put
+in the order of their frequency in the whole corpus, rare ones first. Then
 
 - prefix: a match must hold one of the template's first (size - needed + 1) words, so only blocks with such a word
   are looked at, through an index from word to templates;
 - length: a block with fewer distinct words than needed can't match;
 - positions: words of the template before the first one that the block holds are lost; if too few remain, it can't match.
 
-What passes is counted in full. Templates are a parameter, bounded by `MOST_TEMPLATE_WORDS` words in all (an error beyond), so
+The filters are applied to the whole text first, which holds all its blocks, then to each block. A run needs no filter of
+its own: one with enough words holds a prefix word. What passes is counted in full. Templates are a parameter, bounded by `MOST_TEMPLATE_WORDS` words in all (an error beyond), so
 their index goes with the tasks and blocks need no shuffle, whatever their number or skew.
 
 Besides, fixed phrases are found word by word; each carries a label of its own.
@@ -21,7 +24,7 @@ An empty table gives an empty result. Templates equal in words share their match
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,8 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 CONTAINMENT = 90
+#: Words of a run across blank lines, as a multiple of the template's.
+SPAN = 2
 MOST_TEMPLATE_WORDS = 200_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -96,7 +101,7 @@ class TemplateIndex:
     """Templates in the corpus's order of words, with the prefixes that find them."""
 
     def __init__(self, templates: Mapping[str, str], frequency: Mapping[bytes, int], percent: int):
-        self.names, self.ordered, self.needed = [], [], []
+        self.names, self.ordered, self.needed, self.span = [], [], [], []
         self.by_word: dict[bytes, list[tuple[int, int]]] = {}
         for name, words in sorted(template_words(templates).items()):
             ordered = sorted(words, key=lambda w: (frequency.get(w, 0), w))
@@ -106,6 +111,7 @@ class TemplateIndex:
             self.names.append(name)
             self.ordered.append(ordered)
             self.needed.append(needed)
+            self.span.append(SPAN * len(words_of(templates[name].encode())))
         self.first_words = frozenset(self.by_word)
 
     def matches(self, block: frozenset[bytes] | set[bytes]) -> dict[int, int]:
@@ -124,6 +130,65 @@ class TemplateIndex:
                 out[t] = held
         return out
 
+    def runs(self, words: list[bytes], t: int) -> list[tuple[int, int, int]]:
+        """Where `span` words in a row hold enough of a template: first and last of its words there, and how many different.
+
+        Of runs that overlap, the first of those that hold most.
+        """
+        wanted, out = set(self.ordered[t]), []
+        hits = [i for i, w in enumerate(words) if w in wanted]
+        inside: Counter[bytes] = Counter()
+        left = 0
+        for i in hits:
+            inside[words[i]] += 1
+            while i - hits[left] >= self.span[t]:
+                w = words[hits[left]]
+                inside[w] -= 1
+                if not inside[w]:
+                    del inside[w]
+                left += 1
+            if len(inside) >= self.needed[t]:
+                run = (hits[left], i, len(inside))
+                if not out or run[0] > out[-1][1]:
+                    out.append(run)
+                elif run[2] > out[-1][2]:
+                    out[-1] = run
+        return out
+
+    def found(self, lines: list[list[bytes]], possible: Iterable[int]) -> list[tuple[int, int, int]]:
+        """Matching blocks of a text: first line, template, words held. `possible`: the templates that the whole text matches."""
+        out: list[tuple[int, int, int, int]] = []  # template, first line, last line, words held
+
+        def add(first: int, last: int, t: int, held: int) -> None:
+            if all(o[0] != t or o[1] > last or o[2] < first or o[3] < held for o in out):
+                out.append((t, first, last, held))
+
+        paragraphs: list[list[int]] = []
+        for i, line in enumerate(lines):
+            if not line:
+                continue
+            if i and lines[i - 1]:
+                paragraphs[-1].append(i)
+            else:
+                paragraphs.append([i])
+            if not self.first_words.isdisjoint(line):
+                out.extend((t, i, i, held) for t, held in self.matches(set(line)).items())
+        for p in paragraphs:
+            if len(p) > 1:
+                own = {w for i in p for w in lines[i]}
+                if not own.isdisjoint(self.first_words):
+                    for t, held in self.matches(own).items():
+                        add(p[0], p[-1], t, held)
+        if len(paragraphs) > 1:
+            words = [w for line in lines for w in line]
+            line_of = [i for i, line in enumerate(lines) for _ in line]
+            paragraph_of = {i: k for k, p in enumerate(paragraphs) for i in p}
+            for t in possible:
+                for a, b, held in self.runs(words, t):
+                    if paragraph_of[line_of[a]] != paragraph_of[line_of[b]]:
+                        add(line_of[a], line_of[b], t, held)
+        return sorted((first, t, held) for t, first, _, held in out)
+
 
 _SCAN = T.StructType(
     [
@@ -139,7 +204,7 @@ _SCAN = T.StructType(
 
 
 def scan_text(raw: bytes, index: TemplateIndex, phrases: list[tuple[bytes, str]]) -> dict:
-    """One text's phrase places, template matches by line, labels and score."""
+    """One text's phrase places, template matches by block, labels and score."""
     folded = raw.translate(FOLD_LINES)
     words = folded.split()
     places, base = [], set()
@@ -151,16 +216,12 @@ def scan_text(raw: bytes, index: TemplateIndex, phrases: list[tuple[bytes, str]]
             base.add(label)
             at = joined.find(phrase, at + 1)
     blocks, labels, score = [], set(base), 1.0 if base else 0.0
-    if not index.first_words.isdisjoint(words):
-        for number, line in enumerate(folded.split(b"\n")):
-            own = set(line.split())
-            if own.isdisjoint(index.first_words):
-                continue
-            for t, held in sorted(index.matches(own).items()):
-                share = held / len(index.ordered[t])
-                blocks.append({"line": number, "template": index.names[t], "containment": share})
-                labels.add(index.names[t])
-                score = max(score, share)
+    if not index.first_words.isdisjoint(words) and (possible := index.matches(set(words))):
+        for number, t, held in index.found([line.split() for line in folded.split(b"\n")], possible):
+            share = held / len(index.ordered[t])
+            blocks.append({"line": number, "template": index.names[t], "containment": share})
+            labels.add(index.names[t])
+            score = max(score, share)
     return {
         "n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
         "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score, "blocks": blocks,
@@ -190,7 +251,7 @@ def _scan_udf(index: TemplateIndex, phrases: Mapping[str, str]):
 def scan_licenses(
     docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, percent: int = CONTAINMENT
 ) -> DataFrame:
-    """Per document: counts, first and last phrase place, labels, score and the matching `blocks` (line, template, containment)."""
+    """Per document: counts, first and last phrase place, labels, score and the matching `blocks` (first line, template, containment)."""
     every = frozenset().union(*template_words(templates).values()) if templates else frozenset()
     index = TemplateIndex(templates, frequencies(docs, every), percent)
     return docs.select("doc_id", _scan_udf(index, phrases)(text_of(docs)).alias("x")).select("doc_id", "x.*")

@@ -88,6 +88,29 @@ def test_licenses_on_odd_rows(spark, odd, empty):
     assert licenses.scan_licenses(odd, templates={}, phrases={}).filter("labels <> ''").count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    bsd = licenses.TEMPLATES["bsd"].replace("without modification", "without\nmodification")
+    cc0 = licenses.TEMPLATES["cc0"].replace("law the", "law the\n * ").replace("rights to", "rights\n * to")
+    texts = ["intro\n\n" + bsd + "\n\nend", cc0, licenses.TEMPLATES["mit"].replace("the mit", "the\n\nmit"), licenses.TEMPLATES["bsd"]]
+    texts += [cc0.replace("law", "law\n\n" + "other words " * 40 + "\n\n"), licenses.TEMPLATES["bsd"].replace("permitted", "\npermitted")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i].labels for i in range(6)] == ["bsd", "cc0", "mit", "bsd", "", "bsd"]
+    assert [[(b.line, b.containment) for b in got[i].blocks] for i in (0, 1, 2, 3)] == [[(2, 1.0)], [(0, 1.0)], [(0, 1.0)], [(0, 1.0)]]
+    assert [(b.line, b.containment) for b in got[5].blocks] == [(0, 12 / 13), (0, 1.0)] and got[5].score == 1
+
+
+def test_runs_are_the_best_windows():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(14)]
+    for _ in range(300):
+        index = licenses.TemplateIndex({"t": " ".join(rng.sample(words, 5))}, {}, 80)
+        text = [w.encode() for w in rng.choices(words, k=rng.randrange(30))]
+        windows = [len(set(index.ordered[0]) & set(text[i : i + index.span[0]])) for i in range(len(text))]
+        best = max([n for n in windows if n >= index.needed[0]], default=None)
+        assert max([held for _, _, held in index.runs(text, 0)], default=None) == best
+
+
 def test_filters_lose_no_match():
     rng = random.Random(4)
     words = [f"w{i}" for i in range(30)]
