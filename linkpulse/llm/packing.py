@@ -1,10 +1,13 @@
 """Packing documents into sequences by hierarchical residual best fit.
 
 Every input partition tokenizes its documents, cuts those that are longer than a sequence, and packs its pieces by
-best fit, longest first. Nearly full bins are done. The others become items, each with the pieces it holds, and
-meet those of other partitions in a tree: `FAN_IN` groups at a time, packed again by best fit, until one group is left. The
-higher the level, the more free space still counts as nearly full, so that what goes on to the next level stays a
-few bins for each group: two bins at most half full never both survive a best fit.
+best fit, longest first. Bins become items, each with the pieces it holds, and
+meet those of other partitions in a tree: `FAN_IN` groups at a time, packed again by best fit, until one group is left.
+
+Of each group go on at most one bin that is half full or less, as two of them never both survive a best fit, and the
+`MOST_HOSTS` fuller bins with the most room; the rest is done. Two bins over half full never fit one
+sequence, so all that can still be merged are the bins at most half full: at most `FAN_IN` of them meet in a group, and use up as many
+fuller bins at most. A group thus has at most FAN_IN * (MOST_HOSTS + 1) items, whatever the corpus and its lengths.
 
 Only bin numbers and lengths move between tasks; token ids are written once, beside their first bin.
 
@@ -29,12 +32,12 @@ from .tokens import byte_bpe, default_path
 LENGTH = 2048
 END_ID = 0
 FAN_IN = 8
-#: Free tokens up to which a bin is done, by level; the last entry holds for all higher levels but the last one.
-NEARLY_FULL = (8, 32, 128, 512, 1024)
+#: Bins over half full that go on from a group. Each level uses up FAN_IN of them at most, so they last FAN_IN levels.
+MOST_HOSTS = FAN_IN * FAN_IN
 #: Bytes of token ids that a task holds and packs at once.
 WINDOW_BYTES = 32 << 20
 
-_PIECES = "doc_id long, piece int, start long, length long, ids binary, bin string, offset long, free int"
+_PIECES = "doc_id long, piece int, start long, length long, ids binary, bin string, offset long, free int, open boolean"
 
 
 def best_fit(sizes: Iterable[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -69,6 +72,15 @@ def best_fit(sizes: Iterable[int], capacity: int) -> tuple[list[int], list[int],
     return bins, offsets, free
 
 
+def goes_on(free: np.ndarray, capacity: int) -> np.ndarray:
+    """Which of a group's packed bins can still be merged with those of other groups."""
+    free = np.asarray(free, np.int64)
+    light = 2 * (capacity - free) <= capacity
+    hosts = np.flatnonzero(~light & (free > 0))
+    light[hosts[np.argsort(-free[hosts], kind="stable")[:MOST_HOSTS]]] = True
+    return light
+
+
 def _packer(capacity: int, path: str, run: str):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -85,7 +97,7 @@ def _packer(capacity: int, path: str, run: str):
             bins, offsets, free = best_fit(lengths[order].tolist(), capacity)
             place, at = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
             place[order], at[order] = bins, offsets
-            room = np.array(free, np.int32)
+            room, open_ = np.array(free, np.int32), goes_on(free, capacity)
             order = np.lexsort((at, place))
             for i in range(0, len(order), 2000):
                 part = order[i : i + 2000]
@@ -95,9 +107,9 @@ def _packer(capacity: int, path: str, run: str):
                         pa.array([starts[k] for k in part], pa.int64()), pa.array(lengths[part]),
                         pa.array([ids[k] for k in part], pa.binary()),
                         pa.array([f"{run}-{task}-{turn}-{place[k]}" for k in part]),
-                        pa.array(at[part]), pa.array(room[place[part]]),
+                        pa.array(at[part]), pa.array(room[place[part]]), pa.array(open_[place[part]]),
                     ],
-                    ["doc_id", "piece", "start", "length", "ids", "bin", "offset", "free"],
+                    ["doc_id", "piece", "start", "length", "ids", "bin", "offset", "free", "open"],
                 )
             turn, held = turn + 1, 0
             for kept in (docs, pieces, starts, ids):
@@ -133,6 +145,7 @@ def _merger(capacity: int):
         t = table.sort_by([("free", "ascending"), ("item", "ascending")])
         used = (capacity - t["free"].to_numpy()).tolist()
         bins, offsets, free = best_fit(used, capacity)
+        on = goes_on(free, capacity)
         items = t["item"].to_pylist()
         first: dict[int, str] = {}
         for b, item in zip(bins, items, strict=True):
@@ -143,6 +156,7 @@ def _merger(capacity: int):
                 "into": pa.array([first[b] for b in bins], pa.string()),
                 "shift": pa.array(offsets, pa.int64()),
                 "free": pa.array([free[b] for b in bins], pa.int32()),
+                "open": pa.array([bool(on[b]) for b in bins]),
                 "node": t["node"],
             }
         )
@@ -156,19 +170,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = LENGTH)
     spark, path = docs.sparkSession, tokenizer or default_path()
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     pieces = stored(texts.mapInArrow(_packer(capacity, path, uuid.uuid4().hex[:8]), _PIECES), "pieces")
-    node = F.split("bin", "-")[1].cast("long")
-    opened = pieces.filter(F.col("free") > NEARLY_FULL[0]).groupBy("bin").agg(F.first("free").alias("free"))
-    items = stored(opened.select(F.col("bin").alias("item"), node.alias("node"), "free"), "items")
-    moves, level = None, 0
-    top = items.agg(F.max("node")).first()[0]
+    opened = pieces.filter("open").groupBy("bin").agg(F.first("free").alias("free"))
+    task, turn = (F.split("bin", "-")[i].cast("long").alias(name) for i, name in ((1, "task"), (2, "turn")))
+    items = stored(opened.select(F.col("bin").alias("item"), task, turn, "free"), "items")
+    tasks, turns = items.agg(F.max("task") + 1, F.max("turn") + 1).first()
+    items = items.withColumn("node", F.col("turn") * F.lit(tasks) + F.col("task"))  # what was packed at once is a node
+    moves, top = None, None if tasks is None else tasks * turns - 1
     while top is not None:
-        level += 1
         last = top < FAN_IN
-        done = capacity if last else NEARLY_FULL[min(level, len(NEARLY_FULL) - 1)]
         grouped = items.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long"))
         moved = stored(
             grouped.groupBy("node").applyInArrow(
-                _merger(capacity), "item string, into string, shift long, free int, node long"
+                _merger(capacity), "item string, into string, shift long, free int, open boolean, node long"
             ),
             "moves",
         )
@@ -185,18 +198,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = LENGTH)
         if last:
             break
         items = stored(
-            moved.filter((F.col("free") > done) & (F.col("item") == F.col("into"))).select("item", "node", "free"), "items"
+            moved.filter(F.col("open") & (F.col("item") == F.col("into"))).select("item", "node", "free"), "items"
         )
         top = items.agg(F.max("node")).first()[0]
-    out = pieces.select("doc_id", "piece", "start", "length", "ids", "offset", F.col("bin").alias("sequence"), "free")
+    out = pieces.select("doc_id", "piece", "start", "length", "ids", "offset", F.col("bin").alias("sequence"), "open")
     if moves is not None:
         own = moves.withColumnRenamed("item", "sequence")
-        open_ = out.filter(F.col("free") > NEARLY_FULL[0]).join(own, "sequence", "left")
+        open_ = out.filter("open").join(own, "sequence", "left")
         open_ = open_.withColumns(
             {"offset": F.col("offset") + F.coalesce("shift", F.lit(0)), "sequence": F.coalesce("into", "sequence")}
         )
-        out = out.filter(F.col("free") <= NEARLY_FULL[0]).unionByName(open_.select(*out.columns))
-    return out.drop("free")
+        out = out.filter("NOT open").unionByName(open_.select(*out.columns))
+    return out.drop("open")
 
 
 

@@ -172,6 +172,23 @@ def test_packing_over_many_partitions(spark):
     assert bins <= least * 1.1 + 1  # six documents a partition: bins are all that meet
 
 
+def test_bins_over_half_full_do_not_gather_in_one_task(spark, monkeypatch):
+    rows = [(i, "a " * (257 + i * 7 % 180), "en", "s") for i in range(900)] + [(900 + i, "a " * (30 + 3 * i), "en", "s") for i in range(12)]
+    largest, stored = [], packing.stored
+
+    def spied(df, name, *args):
+        out = stored(df, name, *args)
+        if name == "moves":
+            largest.append(out.groupBy("node").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(packing, "stored", spied)
+    got = packing.digest(packing.pack(frame(spark, rows).repartition(20), capacity=512)).collect()
+    bins, _ = check_packed(rows, got, 512)
+    assert bins == 900  # the short ones find room beside the others
+    assert len(largest) > 1 and max(largest) <= packing.FAN_IN * (packing.FAN_IN**2 + 1)
+
+
 def test_best_fit():
     sizes = np.random.default_rng(1).integers(1, 100, 500).tolist()
     bins, offsets, free = packing.best_fit(sorted(sizes, reverse=True), 100)
