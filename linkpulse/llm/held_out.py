@@ -13,12 +13,15 @@ def held_out(doc_id) -> Column:
 
 
 def labelled_sample(labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """`(doc_id, y)`: at most `per_class` ids of each label value, the least by hash, from rows that may be learned from.
+    """`(doc_id, y, weight)`: at most `per_class` ids of each label value, the least by hash, from rows that may be learned from.
 
-    An id with several label rows counts once, with the larger label.
+    An id with several label rows counts once, with the larger label. `weight` is how many such ids of its class a sampled one
+    stands for, so that what is learned keeps the classes' shares, whichever of them the cap thins out.
     """
     own = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
     own = own.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    parts = [own.filter(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
+    ids = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
+    weight = {y: max(1.0, ids.get(y, 0) / max(per_class, 1)) for y in (0, 1)}
+    parts = [own.filter(F.col("y") == y).orderBy(*order).limit(per_class).withColumn("weight", F.lit(weight[y])) for y in (0, 1)]
     return parts[0].unionByName(parts[1])

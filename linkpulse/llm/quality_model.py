@@ -5,7 +5,7 @@ pair of words came before in the text) into one of 256. Each bucket has a fixed
 of the index vectors of its neighbours over the whole corpus: tasks add up their part in whole numbers, the
 parts are added by bucket, and a table of BUCKETS + 256 rows remains, whatever the corpus. A document is the mean of its
 words' vectors, rare words counting more, and of its shapes' vectors. On top is a network with one hidden
-layer, trained by numpy on at most `SAMPLE` labelled documents of each class, whose logits are divided by a temperature
+layer, trained by numpy on at most `SAMPLE` labelled documents of each class, each weighted by how many it stands for, whose logits are divided by a temperature
 fitted on a part left out of training. Labels, language, source and id are no inputs.
 
 Defined results: null and empty texts have the zero vector and are scored as such. Repeated rows get equal scores. An empty
@@ -153,8 +153,8 @@ def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.nda
     return (sums / np.maximum(words, 1)[:, None]).astype(np.float32)
 
 
-def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
-    """Two layers by Adam on the log loss, then the temperature on a fifth that was left out."""
+def train(x: np.ndarray, y: np.ndarray, seed: int = 5, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Two layers by Adam on the weighted log loss, then the temperature on a fifth that was left out."""
     rng = np.random.Generator(np.random.PCG64(seed))
     x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)
     if len(y) == 0 or y.min() == y.max():
@@ -162,6 +162,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
         bias = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
         zero = np.zeros((x.shape[1] if x.ndim == 2 else 2 * DIMS, HIDDEN))
         return {"mean": np.zeros(len(zero)), "std": np.ones(len(zero)), "w1": zero, "b1": np.zeros(HIDDEN), "w2": np.zeros(HIDDEN), "b2": np.array(bias), "t": np.array(1.0)}
+    weight = np.ones(len(y)) if weight is None else np.asarray(weight, np.float64) / np.mean(weight)
     order = rng.permutation(len(y))
     hold, fit = order[: len(y) // 5], order[len(y) // 5 :]
     mean, std = x[fit].mean(axis=0), x[fit].std(axis=0) + 1e-6
@@ -177,7 +178,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
         for i in range(0, len(fit), 128):
             part = fit[i : i + 128]
             h = np.tanh(z[part] @ p["w1"] + p["b1"])
-            g = (1 / (1 + np.exp(-(h @ p["w2"] + p["b2"]))) - y[part]) / len(part)
+            g = (1 / (1 + np.exp(-(h @ p["w2"] + p["b2"]))) - y[part]) * weight[part] / len(part)
             gh = np.outer(g, p["w2"]) * (1 - h * h)
             grads = {"w1": z[part].T @ gh + DECAY * p["w1"], "b1": gh.sum(axis=0), "w2": h.T @ g + DECAY * p["w2"], "b2": g.sum()}
             step += 1
@@ -188,7 +189,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     p |= {"mean": mean, "std": std, "t": np.array(1.0)}
     if len(hold):
         logit = logits(p, x[hold])
-        loss = lambda t: np.mean(np.logaddexp(0, logit / t) - y[hold] * logit / t)
+        loss = lambda t: np.mean(weight[hold] * (np.logaddexp(0, logit / t) - y[hold] * logit / t))
         p["t"] = np.array(min(np.geomspace(0.3, 10, 80), key=loss))
     return p
 
@@ -220,11 +221,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     vectors = word_vectors(docs)
     chosen = labelled_sample(labels, "quality", sample)
     own = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
-    own = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    rows = own.select("doc_id", _pool_udf(vectors)("text").alias("x"), "y").toPandas()
-    rows = rows.sort_values("doc_id") if len(rows) else pd.DataFrame({"x": [], "y": []})
+    own = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("weight").alias("weight"))
+    rows = own.select("doc_id", _pool_udf(vectors)("text").alias("x"), "y", "weight").toPandas()
+    rows = rows.sort_values("doc_id") if len(rows) else pd.DataFrame({"x": [], "y": [], "weight": []})
     x = np.array([np.frombuffer(b, np.float32) for b in rows["x"]]) if len(rows) else np.zeros((0, 2 * DIMS))
-    return vectors, train(x, rows["y"].to_numpy())
+    return vectors, train(x, rows["y"].to_numpy(), weight=rows["weight"].to_numpy())
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -100,8 +100,11 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(value[:, None] - self.thresholds[None, :], -50, 50)))
 
 
-def fit_ordinal(row: np.ndarray, ids: np.ndarray, count: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> Ordinal:
-    """Selects features, sets grades and fits weights and thresholds by gradient descent on the ordinal likelihood."""
+def fit_ordinal(row: np.ndarray, ids: np.ndarray, count: np.ndarray, words: np.ndarray, toxic: np.ndarray, weight: np.ndarray | None = None) -> Ordinal:
+    """Selects features, sets grades and fits weights and thresholds by gradient descent on the ordinal likelihood.
+
+    `weight`: how many documents each of the rows stands for.
+    """
     n, positive = len(toxic), toxic.astype(bool)
     if not n or positive.all() or not positive.any():
         return Ordinal(np.zeros(0, np.int64), np.zeros(0), np.array([3.0, 5.0, 7.0]))
@@ -122,13 +125,15 @@ def fit_ordinal(row: np.ndarray, ids: np.ndarray, count: np.ndarray, words: np.n
     cuts = np.quantile(share[positive], [1 / 3, 2 / 3])
     grade = np.where(positive, 1 + (share[:, None] > cuts[None, :]).sum(axis=1), 0)
     above = (grade[:, None] > np.arange(GRADES)[None, :]).astype(float)
-    balance = np.where(positive, 0.5 / positive.mean(), 0.5 / (~positive).mean())[:, None] ** 0.5
+    weight = np.ones(n) if weight is None else np.asarray(weight, np.float64)
+    total, of_positive = weight.sum(), weight[positive].sum()
+    balance = np.where(positive, 0.5 / (of_positive / total), 0.5 / ((total - of_positive) / total))[:, None] ** 0.5 * weight[:, None]
     w, base, gaps = np.zeros(len(good)), 1.0, np.zeros(GRADES - 1)
     state = [np.zeros(len(good) + GRADES) for _ in range(2)]
     for step in range(1, EPOCHS + 1):
         theta = base + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
         score = np.bincount(r, weights=w[c] * v, minlength=n)
-        g = (1 / (1 + np.exp(-np.clip(score[:, None] - theta[None, :], -50, 50))) - above) * balance / n
+        g = (1 / (1 + np.exp(-np.clip(score[:, None] - theta[None, :], -50, 50))) - above) * balance / total
         gw = np.bincount(c, weights=g.sum(axis=1)[r] * v, minlength=len(good)) + DECAY * w / max(1, len(good)) ** 0.5
         gt = -g.sum(axis=0)
         grad = np.concatenate((gw, [gt.sum()], np.cumsum(gt[::-1])[::-1][1:] * np.exp(gaps)))
@@ -143,13 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     """The model of at most `sample` labelled documents of each class."""
     chosen = labelled_sample(labels, "toxic", sample)
     own = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
-    own = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    rows = sorted(own.select("doc_id", _sparse("text").alias("x"), "y").collect(), key=lambda r: r["doc_id"])
+    own = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("weight").alias("weight"))
+    rows = sorted(own.select("doc_id", _sparse("text").alias("x"), "y", "weight").collect(), key=lambda r: r["doc_id"])
     ids = [np.frombuffer(r["x"]["ids"], np.uint32).astype(np.int64) for r in rows]
     counts = [np.frombuffer(r["x"]["counts"], np.uint16).astype(np.int64) for r in rows]
     row = np.repeat(np.arange(len(rows)), [len(x) for x in ids])
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return fit_ordinal(row, join(ids), join(counts), np.array([r["x"]["words"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.int64))
+    return fit_ordinal(row, join(ids), join(counts), np.array([r["x"]["words"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.int64), np.array([r["weight"] for r in rows]))
 
 
 _RESULT = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("grade", T.IntegerType())])

@@ -57,6 +57,48 @@ def test_no_label_of_a_held_out_row_is_learned(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in got)
 
 
+def test_samples_keep_the_shares_of_the_classes(spark):
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(600)], "doc_id long, quality int")
+    learned = Counter(int(i % 5 > 0) for i in range(600) if zlib.crc32(str(i).encode()) % 3 != 1)
+    for most in (40, 100, 1000):
+        got = Counter()
+        for r in labelled_sample(labels, "quality", most).collect():
+            got[r.y] += r.weight
+        assert got == pytest.approx(learned)
+
+
+def thinned(seed):
+    """Overlapping classes, nine tenths of label 1; places of as many rows of each class, and what each stands for."""
+    rng = np.random.default_rng(seed)
+    y = (rng.random(8000) < 0.9).astype(int)
+    some = np.sort(np.concatenate([np.flatnonzero(y == 0), np.flatnonzero(y == 1)[: (y == 0).sum()]]))
+    return rng, y, some, np.where(y[some] == 1, y.sum() / (y == 0).sum(), 1.0)
+
+
+def test_quality_scores_do_not_depend_on_the_cap():
+    rng, y, some, weight = thinned(2)
+    x = y[:, None] + rng.normal(0, 1, (len(y), 2))
+    score = lambda m: (1 / (1 + np.exp(-quality_model.logits(m, x)))).mean()
+    whole = score(quality_model.train(x, y))
+    assert abs(score(quality_model.train(x[some], y[some], weight=weight)) - whole) < 0.03
+    assert score(quality_model.train(x[some], y[some])) < whole - 0.1
+
+
+def test_toxicity_scores_do_not_depend_on_the_cap():
+    rng, y, some, weight = thinned(3)
+    y, n = 1 - y, len(y)
+    ids = np.where(rng.random((n, 6)) < np.where(y == 1, 0.4, 0.15)[:, None], rng.integers(0, 20, (n, 6)), rng.integers(20, 60, (n, 6)))
+
+    def sparse(rows):
+        return np.repeat(np.arange(len(rows)), 6), ids[rows].ravel(), np.ones(6 * len(rows), int)
+
+    score = lambda m: m.chances(n, *sparse(np.arange(n)))[:, 0].mean()
+    words = np.full(n, 50)
+    whole = score(toxicity.fit_ordinal(*sparse(np.arange(n)), words, y))
+    assert abs(score(toxicity.fit_ordinal(*sparse(some), words[some], y[some], weight)) - whole) < 0.03
+    assert score(toxicity.fit_ordinal(*sparse(some), words[some], y[some])) > whole + 0.05
+
+
 def test_vectors_do_not_depend_on_the_partitions(spark, odd):
     one, many = (quality_model.word_vectors(odd.repartition(n)) for n in (1, 5))
     assert np.array_equal(one, many)
