@@ -9,7 +9,8 @@ The index is the Burrows-Wheeler transform of the segments, aligned at their anc
 positional transform): at each column, from right to left, the segments stand in the order of what follows. The
 column's letters in that order form runs. Inside a run the match length with the neighbour above is the one of the column to the right plus one;
 only at run heads, where the sampled segments are, two segments are compared. So matching statistics stream
-from column to column at a cost that falls with the number of runs. A window repeats if its match with a neighbour
+from column to column, and comparisons fall with the number of runs. Nothing is stored compressed: a task holds its segments whole, and
+orders all of them at every column. A window repeats if its match with a neighbour
 above or below reaches `length`.
 
 Anchors with more than `MOST_SEGMENTS` different segments (a passage in a large part of all documents, each time in other
