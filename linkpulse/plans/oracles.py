@@ -98,7 +98,7 @@ _CLASS = """CASE WHEN packet_loss >= 100 AND latency >= 999 THEN 'Link Failure'
   AND jitter - coalesce(base_jitter, 0) > (latency - coalesce(base_latency, 0)) * CAST(0.3 AS DOUBLE) THEN 'High Jitter'
  WHEN latency - coalesce(base_latency, 0) >= 49 THEN 'Latency Spike' END"""
 
-_ASOF = """hit AS (SELECT based.*, s.fault_type AS ft, s.started_at AS fs, s.duration_s AS fd
+_ASOF = """hit AS (SELECT based.*, s.fault_type AS ft, s.started_at AS fs, s.duration_s AS fd, s.intensity AS fi
  FROM based ASOF LEFT JOIN sched s ON based.router_id = s.router_id AND based.event_time >= s.started_at),
 live AS (SELECT *, CASE WHEN event_time < fs + to_seconds(fd) THEN ft END AS fault_type FROM hit)"""
 
@@ -337,7 +337,8 @@ SELECT count(*) AS batches, CAST(sum(lines_read) AS BIGINT) AS total_lines_read,
   ORDER BY polled_at DESC, batch_id DESC LIMIT 1) AS last_imported_timestamp
 FROM b""",
         "fault_asof": _with(
-            "SELECT id, router_id, event_time, fault_type, intensity, started_at FROM live",
+            """SELECT id, router_id, event_time, fault_type, CASE WHEN fault_type IS NOT NULL THEN fi END AS intensity,
+ CASE WHEN fault_type IS NOT NULL THEN fs END AS started_at FROM live""",
             _SCHED,
             _BASED,
             _ASOF,
