@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import exact_search, licenses, mixing, near_dedup, packing, quality_model, repeats, token_rollup, toxicity
+from . import exact_search, licenses, mixing, near_dedup, packing, quality_model, repeats, token_rollup, toxicity, vector_codes
+from . import whitening
 from . import quality_rules as rules
 from .common import new_folder, table
 
@@ -80,10 +81,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(docs).select("doc_id", "n_words", *names)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened principal components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product code of every vector."""
+    return vector_codes.code_digest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def llm_queries() -> dict[str, Query]:
     own = (
         op1_quality_classifier, op2_packing, op3_near_duplicates, op4_token_counts, op5_toxicity, op6_licenses, op7_repeats,
-        op8_mixing, op9_exact_search, op10_quality_rules,
+        op8_mixing, op9_exact_search, op10_quality_rules, op12_whitening, op13_vector_codes,
     )
     return {q.__name__: q for q in own} | {"pipeline": corpus_pipeline.run}
 
