@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import exact_search, licenses, mixing, near_dedup, packing, quality_model, repeats, token_rollup, toxicity, vector_codes
-from . import whitening
+from . import near_vectors, whitening
 from . import quality_rules as rules
 from .common import new_folder, table
 
@@ -81,6 +81,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(docs).select("doc_id", "n_words", *names)
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.9 or more."""
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened principal components of every vector."""
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -94,7 +99,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     own = (
         op1_quality_classifier, op2_packing, op3_near_duplicates, op4_token_counts, op5_toxicity, op6_licenses, op7_repeats,
-        op8_mixing, op9_exact_search, op10_quality_rules, op12_whitening, op13_vector_codes,
+        op8_mixing, op9_exact_search, op10_quality_rules, op11_near_vectors, op12_whitening, op13_vector_codes,
     )
     return {q.__name__: q for q in own} | {"pipeline": corpus_pipeline.run}
 

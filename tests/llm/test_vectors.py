@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from linkpulse.llm import vector_codes, whitening
+from linkpulse.llm import near_vectors, vector_codes, whitening
 from linkpulse.llm.common import table
 from linkpulse.llm.queries import llm_queries
 
@@ -190,3 +190,86 @@ def test_empty_vectors(spark, rows):
 
 def test_whitening_without_spread(spark):
     assert whitening.whiten(frame(spark, [(1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)])).count() == 0
+
+
+def brute_links(rows, threshold=0.9):
+    """(id, links, least id reachable) of every row."""
+    good = [i for i, r in enumerate(rows) if r[0] is not None and r in usable([r]) and any(r[1])]
+    x = padded([rows[i] for i in good])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= threshold
+    same = {}
+    for a, i in enumerate(good):
+        same.setdefault(tuple(x[a]), []).append(a)
+        linked[a, a] = False
+    for group in same.values():  # rounding must not part equal vectors
+        linked[np.ix_(group, group)] = ~np.eye(len(group), dtype=bool)
+    least = np.array([rows[i][0] for i in good])
+    while True:
+        near = np.where(linked, least[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+        new = np.minimum(least, near)
+        if (new == least).all():
+            break
+        least = new
+    out = [(r[0], 0, r[0], True) for r in rows]
+    for a, i in enumerate(good):
+        out[i] = (rows[i][0], int(linked[a].sum()), int(least[a]), rows[i][0] == least[a])
+    return sorted(out, key=str)
+
+
+def linked(df):
+    return sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in df.collect()), key=str)
+
+
+def test_links_of_odd_rows(spark):
+    assert linked(near_vectors.near_vectors(frame(spark, rows_of()))) == brute_links(rows_of())
+
+
+def families(width=24, noise=0.02, sizes=(70, 40, 3), singles=150):
+    """Groups of near copies, larger than a list, among single vectors."""
+    rng = np.random.default_rng(8)
+    rows, at = [], 0
+    for size in sizes:
+        centre = rng.standard_normal(width)
+        for _ in range(size):
+            rows.append((at, (centre + noise * rng.standard_normal(width)).tolist(), 1))
+            at += 1
+    return rows + [(at + i, v.tolist(), 2) for i, v in enumerate(rng.standard_normal((singles, width)))]
+
+
+def test_large_groups_are_folded(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "LIST", 6)
+    folded = []
+    fold = near_vectors._Graph.fold
+    monkeypatch.setattr(near_vectors._Graph, "fold", lambda self, full: folded.append(fold(self, full)) or folded[-1])
+    assert linked(near_vectors.near_vectors(frame(spark, families()))) == brute_links(families())
+    assert sum(n for n, _ in folded) > 80
+
+
+def chain(n=400, width=8):
+    """Vectors along a circle: each links with its neighbours only, none is linked with all, lists stay saturated."""
+    turn = np.arange(n) * (2 * np.pi / n)
+    rows = np.zeros((n, width))
+    rows[:, 0], rows[:, 1] = np.cos(turn), np.sin(turn)
+    return [(int((i * 37) % 1000 + 1000 * (i // 1000)), rows[i].tolist(), 1) for i in range(n)]
+
+
+def test_lists_grow_and_balls_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "LIST", 5)
+    monkeypatch.setattr(near_vectors, "BLOCK", 7)
+    monkeypatch.setattr(near_vectors, "HUB", 16)
+    rows = chain(60)
+    got = near_vectors.near_vectors(frame(spark, rows))
+    assert linked(got) == brute_links(rows)
+
+
+def test_links_of_the_given_table(spark):
+    got = llm_queries()["op11_near_vectors"](spark, SF_DIR).collect()
+    want = brute_links(given(spark))
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == want
+    assert {r.audited_recall for r in got} == {1.0}
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, 1), (None, [1.0, 2.0], 1), (2, [0.0, 0.0], 1)]])
+def test_no_links_without_vectors(spark, rows):
+    assert linked(near_vectors.near_vectors(frame(spark, rows))) == sorted(((i, 0, i, True) for i, *_ in rows), key=str)
