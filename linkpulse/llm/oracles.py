@@ -112,7 +112,56 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, la
 FROM w LEFT JOIN base USING (r) LEFT JOIN matched USING (r)"""
 
 
+def codes_sql() -> str:
+    """The rounds of the codebooks, one after the other, every distance evaluated."""
+    from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
+
+    d = "sum((x - y) * (x - y))"
+    rounds = []
+    for r in range(ROUNDS + 1):
+        # the least of (distance, entry): distance * ENTRIES + entry keeps both in one whole number
+        rounds.append(f"""far{r} AS MATERIALIZED (SELECT r, p, min(m) AS m FROM (
+  SELECT r, c.p, {d} * {ENTRIES} + e AS m FROM comp c JOIN book{r} b ON c.p = b.p AND c.i = b.i GROUP BY r, c.p, e) GROUP BY r, p)""")
+        if r < ROUNDS:
+            rounds.append(f"""moved{r} AS (SELECT c.p, f.m % {ENTRIES} AS e, c.i, sum(x) AS s, count(*) AS n
+  FROM comp c JOIN far{r} f ON c.r = f.r AND c.p = f.p GROUP BY c.p, f.m % {ENTRIES}, c.i),
+book{r + 1} AS MATERIALIZED (SELECT b.p, b.e, b.i, CAST(CASE WHEN n IS NULL THEN y ELSE (s - ((s % n) + n) % n) // n END AS BIGINT) AS y
+  FROM book{r} b LEFT JOIN moved{r} v ON b.p = v.p AND b.e = v.e AND b.i = v.i)""")
+    last = f"far{ROUNDS}"
+    return f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * x::DOUBLE) AS BIGINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+width AS (SELECT CAST(ceil(max(len(q)) / {PARTS}) AS BIGINT) AS w FROM v),
+comp AS MATERIALIZED (SELECT r, vec_id, j // w AS p, j % w AS i, coalesce(q[j + 1], 0) AS x
+  FROM (SELECT r, vec_id, q, w, unnest(range(0, w * {PARTS})) AS j FROM v, width)),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS e FROM v),
+book0 AS MATERIALIZED (SELECT p, e, i, x AS y FROM comp JOIN first USING (r) WHERE e < {ENTRIES}),
+{", ".join(rounds)},
+coded AS (SELECT r, string_agg(printf('%02x', m % {ENTRIES}), '' ORDER BY p) AS code, CAST(sum(m // {ENTRIES}) AS BIGINT) AS error FROM {last} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, i)) FROM book{ROUNDS}) AS codebooks_sha256
+FROM v JOIN coded USING (r)"""
+
+
+LINKS_SQL = """WITH RECURSIVE u AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v,
+    vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fit
+  FROM embeddings),
+n AS (SELECT r, vec_id, v, sqrt(list_inner_product(v, v)) AS size FROM u WHERE fit),
+e AS MATERIALIZED (SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM n a JOIN n b ON a.r <> b.r
+  AND (a.v = b.v OR list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.9)),
+reach AS (SELECT r, r AS at, vec_id AS id FROM n UNION SELECT reach.r, e.b, e.id FROM reach JOIN e ON reach.at = e.a),
+least AS (SELECT r, min(id) AS component_id FROM reach GROUP BY r),
+links AS (SELECT a AS r, count(*) AS n_links FROM e GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+  coalesce(vec_id = coalesce(component_id, vec_id), TRUE) AS kept, CAST(1 AS DOUBLE) AS audited_recall
+FROM u LEFT JOIN least USING (r) LEFT JOIN links USING (r)"""
+
+
 ORACLES = {
+    "op11_near_vectors": LINKS_SQL,
+    "op13_vector_codes": codes_sql(),
     "op6_licenses": license_sql(),
     "op9_exact_search": """WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings

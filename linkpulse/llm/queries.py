@@ -93,7 +93,7 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The product code of every vector."""
-    return vector_codes.code_digest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return vector_codes.code_digest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("tried")
 
 
 def llm_queries() -> dict[str, Query]:

@@ -19,4 +19,4 @@ def test_matches_sql(spark, name):
 
 def test_registered():
     names = list(llm_queries())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
