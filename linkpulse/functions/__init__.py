@@ -1,13 +1,12 @@
 """Column expressions shared by the operators."""
 
-from .numbers import char_sum, mean_dp, plain_number, round_dp, row_count
+from .numbers import mean_dp, plain_number, round_dp, row_count
 from .text import canon_router_id, is_blank, strip
 from .times import at_or_after, iso_text, parse_time, time_literal
 
 __all__ = [
     "at_or_after",
     "canon_router_id",
-    "char_sum",
     "is_blank",
     "iso_text",
     "mean_dp",

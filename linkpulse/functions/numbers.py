@@ -25,11 +25,6 @@ def mean_dp(c: Column | str, digits: int = 2) -> Column:
     return round_dp(F.avg(_col(c)), digits)
 
 
-def char_sum(c: Column | str) -> Column:
-    """Sum of the code points of a string."""
-    return F.aggregate(F.split(_col(c), ""), F.lit(0), lambda acc, ch: acc + F.ascii(ch))
-
-
 def row_count(n: int | None, default: int) -> int:
     """A requested number of rows, the default for None. No upper limit: nothing is cut silently."""
     n = default if n is None else int(n)

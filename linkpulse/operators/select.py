@@ -11,6 +11,7 @@ from ..functions import at_or_after, plain_number, row_count
 from ..schema import FAULTED, LATEST_ROWS, METRICS, RECENT_ROWS, ROUTER_ROWS
 
 NEWEST_FIRST = ("event_time", "id")
+DAY_MINUTES = 1440
 
 
 def _newest_first() -> list[Column]:
@@ -45,44 +46,30 @@ def is_fault(status: Column | str = "status", active_fault: Column | str = "acti
     return F.coalesce(s == FAULTED, F.lit(False)) | F.coalesce(f != "", F.lit(False))
 
 
+def top(df: DataFrame, n: int) -> DataFrame:
+    """The newest `n` rows of a small input, ties by `id`: every input partition sends its own `n` to one task."""
+    return df.orderBy(*_newest_first()).limit(n)
+
+
 def newest(df: DataFrame, n: int) -> DataFrame:
     """The newest `n` rows, ties by `id`.
 
-    A plain top-n sends n rows of every input partition to one task. So histograms of the
-    time column (one narrow column, reduced on the map side) first give the minute
-    below which no row can be among the newest n: one over days, then one over the
-    minutes of the day found. Only later rows are ranked. The cutoff reaches the scan,
-    where dates and row groups outside it are skipped.
+    A plain top-n sends n rows of every input partition to one task. So a histogram of the time column by minutes (one
+    narrow column, reduced on the map side) first gives the minute below which no row can be among the newest n. Only
+    later rows are ranked. On a stored table, `newest_stored` takes that cutoff from the footers.
     """
     kind = df.schema["event_time"].dataType
-    timed = df.filter(F.col("event_time").isNotNull())
-    day = F.date_trunc("day", "event_time").cast(kind)
-    everything = F.lit("0001-01-01 00:00:00").cast(kind)
-
-    def reached(histogram: DataFrame, rows: Column) -> DataFrame:
-        """The newest slot at which the rows from there on are enough; the oldest time if none is."""
-        downwards = Window.orderBy(F.col("slot").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        return (
-            histogram.withColumn("so_far", F.sum("rows").over(downwards))
-            .filter(F.col("so_far") >= rows)
-            .agg(F.coalesce(F.max("slot"), everything).alias("cutoff"))
-        )
-
-    per_day = timed.groupBy(day.alias("slot")).agg(F.count("*").alias("rows"))
-    last_day = reached(per_day, F.lit(n)).scalar()
-    later = per_day.filter(F.col("slot") > last_day).agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar()
-    inside = timed.filter(_on_or_after(df, last_day)).filter(day == last_day)
-    per_minute = inside.groupBy(F.date_trunc("minute", "event_time").cast(kind).alias("slot")).agg(F.count("*").alias("rows"))
-    cutoff = reached(per_minute, F.lit(n) - later).scalar()
+    minute = F.date_trunc("minute", "event_time").cast(kind)
+    per_minute = df.filter(F.col("event_time").isNotNull()).groupBy(minute.alias("slot")).agg(F.count("*").alias("rows"))
+    downwards = Window.orderBy(F.col("slot").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    enough = per_minute.withColumn("so_far", F.sum("rows").over(downwards)).filter(F.col("so_far") >= n)
+    oldest = F.lit("0001-01-01 00:00:00").cast(kind)
+    cutoff = enough.agg(F.coalesce(F.max("slot"), oldest)).scalar()
     # Rows without a time sort last, so they only show where timed rows run out.
-    kept = df.filter(_on_or_after(df, cutoff) | F.col("event_time").isNull())
-    return kept.orderBy(*_newest_first()).limit(n)
-
-
-def _on_or_after(df: DataFrame, time: Column) -> Column:
-    """True from `time` on; with stored dates, said so that other dates are not read."""
-    later = F.col("event_time") >= time
-    return later & (F.col("event_date") >= F.to_date(time)) if "event_date" in df.columns else later
+    later, untimed = F.col("event_time") >= cutoff, F.col("event_time").isNull()
+    if "event_date" in df.columns:  # with stored dates, said so that other dates are not read
+        later, untimed = later & (F.col("event_date") >= F.to_date(cutoff)), untimed & F.col("event_date").isNull()
+    return top(df.filter(later | untimed), n)
 
 
 def latest(df: DataFrame, n: int | None = None) -> DataFrame:
@@ -98,15 +85,16 @@ def recent(
     as_of: datetime | str | None = None,
 ) -> DataFrame:
     """The newest records within a rolling window and, if given, of one router."""
-    rows = in_window(df, minutes, as_of)
+    rows, n = in_window(df, minutes, as_of), row_count(n, RECENT_ROWS)
     if router_id:
-        rows = for_router(rows, router_id)
-    return newest(rows, row_count(n, RECENT_ROWS))
+        return top(for_router(rows, router_id), n)
+    # a day at most is ranked at once, which takes one pass
+    return top(rows, n) if minutes and minutes <= DAY_MINUTES else newest(rows, n)
 
 
 def router_history(df: DataFrame, router_id: str, n: int | None = None) -> DataFrame:
     """The newest records of one router."""
-    return newest(for_router(df, router_id), row_count(n, ROUTER_ROWS))
+    return top(for_router(df, router_id), row_count(n, ROUTER_ROWS))
 
 
 def live_tail(df: DataFrame, buffer: int = 100, shown: int = 20) -> DataFrame:

@@ -131,5 +131,6 @@ LEDGER_SCHEMA = T.StructType(
         T.StructField("polled_at", T.TimestampType()),
         T.StructField("last_error", T.StringType()),
         T.StructField("last_imported_timestamp", T.StringType()),
+        T.StructField("last_id", T.LongType()),
     ]
 )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 # Settings that decide results (time zone, JSON rules) or that large joins need.
@@ -26,3 +29,15 @@ def require_utc(spark: SparkSession) -> None:
     zone = spark.conf.get("spark.sql.session.timeZone")
     if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
         raise ValueError(f"spark.sql.session.timeZone must be UTC, found {zone}")
+
+
+@contextmanager
+def exact_timestamps(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Parquet times are written as 64-bit integers: Spark's old default has no statistics, so nothing could be skipped by time."""
+    name = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "TIMESTAMP_MICROS")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

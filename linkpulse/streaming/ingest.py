@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +30,7 @@ from ..schema import LEDGER_SCHEMA, REJECT_SCHEMA
 from ..session import require_utc
 from ..sources.log import number_rows
 from ..sources.paths import exists, file_size
-from ..sources.table import append_new, read_telemetry, table_metadata
+from ..sources.table import append_new, largest_id, table_metadata
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -84,6 +85,7 @@ class IngestSink:
         self.key, self.strict = key, strict
         self.next_id: int | None = None  # read from the table when a run starts
         self.run: str | None = None  # name of a run without a stream
+        self.tally = Counter()  # of the batches since a cycle began
 
     def __call__(self, lines: DataFrame, batch_id: int) -> None:
         spark = lines.sparkSession
@@ -114,6 +116,7 @@ class IngestSink:
                 out.write.mode("overwrite").parquet(f"{self.rejects}/run={run}/batch={batch_id}")
             if self.ledger:
                 self._record(spark, run, batch_id, ingest_id, inserted, facts)
+            self.tally.update(batches=1, lines_read=facts["lines_read"], records_inserted=inserted, errors=facts["errors"])
         finally:
             labelled.unpersist()
 
@@ -131,14 +134,22 @@ class IngestSink:
         return row.asDict()
 
     def _first_free_id(self, spark: SparkSession, ingest_id: str) -> int:
-        """One past the largest stored id, leaving out a half-done try of this batch."""
-        others = read_telemetry(spark, self.table).filter(F.col("ingest_id") != ingest_id)
-        return (others.agg(F.max("id")).first()[0] or 0) + 1
+        """One past the largest stored id, leaving out a half-done try of this batch.
+
+        The ledger knows it; without a ledger, or with rows that do not say, the table's footers do. No record is read.
+        """
+        if self.ledger:
+            others = read_ledger(spark, self.ledger).filter(F.col("ingest_id") != ingest_id)
+            silent = F.count_if(F.col("last_id").isNull() & (F.col("inserted") > 0))
+            row = others.agg(F.count("last_id").alias("known"), silent.alias("silent"), F.max("last_id").alias("last")).first()
+            if row.known and not row.silent:
+                return row.last + 1
+        return largest_id(spark, self.table, ingest_id) + 1
 
     def _record(self, spark, run, batch_id, ingest_id, inserted, facts) -> None:
         values = [
             (ingest_id, batch_id, facts["lines_read"], inserted, facts["errors"], None,
-             facts["last_error"], facts["last_imported_timestamp"])
+             facts["last_error"], facts["last_imported_timestamp"], self.next_id - 1)
         ]
         row = spark.createDataFrame(values, LEDGER_SCHEMA)
         row.withColumn("polled_at", F.current_timestamp()).coalesce(1).write.mode(
@@ -170,7 +181,8 @@ def ingest_once(
     """
     if lines is None:
         return cycle_status(None)
-    progress, done = [], []
+    sink.tally.clear()
+    last = None
     while True:
         query = ingest_writer(lines, sink, checkpoint).trigger(availableNow=True).start()
         try:
@@ -178,21 +190,15 @@ def ingest_once(
         except StreamingQueryException as e:  # an outcome of a cycle like any other
             if sink.ledger:
                 record_failure(lines.sparkSession, sink, f"{query.id}", str(e))
-            return {**cycle_status(progress), "status": "error", "error": str(e)}
+            return {**cycle_status(sink.tally), "status": "error", "error": str(e)}
+        # the stream keeps its last few reports only: enough for the position, not for the totals
         steps = [p for p in query.recentProgress if p["numInputRows"] > 0]
-        progress += steps
-        done += [f"{query.id}/{p['batchId']}" for p in steps]
+        last = steps[-1] if steps else last
         if not (repeat and steps):
             break
-    report = cycle_status(progress)
-    if progress:
-        report["new_offset"] = _position(progress[-1])
-    if done and sink.ledger:
-        ledger = read_ledger(lines.sparkSession, sink.ledger)
-        row = ledger.filter(F.col("ingest_id").isin(done)).agg(
-            F.sum("lines_read"), F.sum("inserted"), F.sum("errors")
-        ).first()
-        report.update(lines_read=row[0], records_inserted=row[1], errors=row[2])
+    report = cycle_status(sink.tally)
+    if last:
+        report["new_offset"] = _position(last)
     return report
 
 
@@ -206,14 +212,13 @@ def _position(step) -> int | None:
         return None
 
 
-def cycle_status(progress: list | None) -> dict:
-    """What a cycle came to: `waiting_for_file`, `up_to_date` or `success`."""
+def cycle_status(tally: Counter | None) -> dict:
+    """What a cycle came to, `waiting_for_file`, `up_to_date` or `success`, and its totals over all batches."""
     report = {"status": "waiting_for_file", "file_exists": False}
-    if progress is not None:
-        rows = sum(p["numInputRows"] for p in progress)
-        report = {"status": "success" if rows else "up_to_date", "file_exists": True}
-        report["lines_read"] = rows
-    return {"lines_read": 0, "records_inserted": 0, "errors": 0, **report}
+    if tally is not None:
+        report = {"status": "success" if tally["lines_read"] else "up_to_date", "file_exists": True}
+    totals = tally or Counter()
+    return {**{k: totals[k] for k in ("lines_read", "records_inserted", "errors")}, **report}
 
 
 def ingest_report(
@@ -225,30 +230,28 @@ def ingest_report(
     """
     size = file_size(spark, log) if log else None
     totals = ingest_status(read_ledger(spark, sink.ledger))
-    facts = table_metadata(spark, sink.table)
+    known = ("total_records", "router_count", "latest", "size_bytes")
+    facts = table_metadata(spark, sink.table).select(F.struct(*known).alias("f")).scalar()
     running = F.lit(bool(query is not None and query.isActive))
-    return totals.withColumns(
+    return totals.withColumn("facts", facts).withColumns(
         {
             "running": running,
             "log_location": F.lit(log).cast("string"),
             "log_exists": F.lit(size is not None),
             "log_size_bytes": F.lit(size).cast("bigint"),
             "last_imported_timestamp": F.coalesce(
-                "last_imported_timestamp", iso_text(facts.select("latest").scalar())
+                "last_imported_timestamp", iso_text(F.col("facts.latest"))
             ),
             "table_location": F.lit(sink.table),
-            **{
-                c: facts.select(c).scalar()
-                for c in ("total_records", "router_count", "latest", "size_bytes")
-            },
+            **{c: F.col(f"facts.{c}") for c in known},
         }
-    )
+    ).drop("facts")
 
 
 def record_failure(spark: SparkSession, sink: IngestSink, run: str, error: str) -> None:
     """A ledger row for a cycle that failed: one error and its text."""
     name = f"failed-{uuid.uuid4().hex}"
-    values = [(f"{run}/{name}", None, 0, 0, 1, None, error[:2000], None)]
+    values = [(f"{run}/{name}", None, 0, 0, 1, None, error, None, None)]
     row = spark.createDataFrame(values, LEDGER_SCHEMA).withColumn("polled_at", F.current_timestamp())
     row.coalesce(1).write.mode("overwrite").parquet(f"{sink.ledger}/run={run}/batch={name}")
 
