@@ -82,27 +82,34 @@ def routers(df: DataFrame) -> DataFrame:
     return df.select("router_id").distinct().orderBy("router_id")
 
 
+def fine_parts(df: DataFrame, *keys: str) -> DataFrame:
+    """Counts, bounds and sums by `keys` and (router, status, fault): small rows that add up to any statistics."""
+    return df.groupBy(*keys, "router_id", "status", "active_fault").agg(
+        F.count("*").alias("records"),
+        F.min("event_time").alias("earliest"),
+        F.max("event_time").alias("latest"),
+        *[F.min(m).alias(f"min_{m}") for m in METRICS],
+        *[F.max(m).alias(f"max_{m}") for m in METRICS],
+        *[F.sum(m).alias(f"sum_{m}") for m in METRICS],
+    )
+
+
 def stats_parts(
     df: DataFrame, minutes: int | None = None, as_of: datetime | str | None = None
 ) -> DataFrame:
     """All parts of the statistics in tall form, from a single scan.
 
+    The table is first reduced to one row per (router, status, fault); only that result is grouped four ways.
+    """
+    return parts_of(fine_parts(in_window(df, minutes, as_of)))
+
+
+def parts_of(fine: DataFrame) -> DataFrame:
+    """All parts of the statistics in tall form, from rows of `fine_parts`.
+
     Rows are `(part, key, records, earliest, latest, min_*, max_*, sum_*)` with `part`
-    one of total, status, fault, router. The table is first reduced to one row per
-    (router, status, fault); only that result is grouped four ways.
+    one of total, status, fault, router.
     """
-    fine = (
-        in_window(df, minutes, as_of)
-        .groupBy("router_id", "status", "active_fault")
-        .agg(
-            F.count("*").alias("records"),
-            F.min("event_time").alias("earliest"),
-            F.max("event_time").alias("latest"),
-            *[F.min(m).alias(f"min_{m}") for m in METRICS],
-            *[F.max(m).alias(f"max_{m}") for m in METRICS],
-            *[F.sum(m).alias(f"sum_{m}") for m in METRICS],
-        )
-    )
     keys = ("router_id", "status", "active_fault")
     sets = [[], [F.col("status")], [F.col("active_fault")], [F.col("router_id")]]
     # grouping_id has one bit per key, set where the key is rolled up.
@@ -127,14 +134,17 @@ def stats_parts(
 
 
 def stats(
-    df: DataFrame, minutes: int | None = None, as_of: datetime | str | None = None
+    df: DataFrame, minutes: int | None = None, as_of: datetime | str | None = None, list_routers: bool = True
 ) -> DataFrame:
     """The statistics document: always exactly one row.
 
-    Holds a list of all routers by design; `stats_parts` is the form for networks
-    too large to list in one value.
+    Holds a list of all routers, unless `list_routers` is false: for networks too large to list in one value.
     """
-    parts = stats_parts(df, minutes, as_of)
+    return document(stats_parts(df, minutes, as_of), minutes, list_routers)
+
+
+def document(parts: DataFrame, minutes: int | None = None, list_routers: bool = True) -> DataFrame:
+    """The statistics document of the rows of `parts_of`."""
     is_part = {p: F.col("part") == p for p in ("total", "status", "fault", "router")}
 
     def total(name: str) -> Column:
@@ -164,7 +174,8 @@ def stats(
             ]
         )
     )
-    router_list = F.array_sort(F.collect_list(F.when(is_part["router"], F.col("key"))))
+    routers = F.collect_list(F.when(is_part["router"], F.col("key"))) if list_routers else F.lit(None).cast("array<string>")
+    router_list = F.array_sort(routers)
     return parts.agg(
         records.alias("total_records"),
         F.count_if(is_part["router"]).alias("router_count"),
@@ -205,12 +216,29 @@ def router_stats(df: DataFrame) -> DataFrame:
     The network row is built from the router rows, not from a second copy of the
     input rows.
     """
-    per_router = df.groupBy("router_id").agg(
-        F.count("*").alias("n"),
-        *[e for m in METRICS for e in (
-            F.min(m).alias(f"lo_{m}"), F.max(m).alias(f"hi_{m}"), F.sum(m).alias(f"s_{m}")
-        )],
+    return _router_rollup(
+        df.groupBy("router_id").agg(
+            F.count("*").alias("n"),
+            *[e for m in METRICS for e in (
+                F.min(m).alias(f"lo_{m}"), F.max(m).alias(f"hi_{m}"), F.sum(m).alias(f"s_{m}")
+            )],
+        )
+    )
+
+
+def router_stats_of(fine: DataFrame) -> DataFrame:
+    """`router_stats` from rows of `fine_parts`."""
+    return _router_rollup(
+        fine.groupBy("router_id").agg(
+            F.sum("records").alias("n"),
+            *[e for m in METRICS for e in (
+                F.min(f"min_{m}").alias(f"lo_{m}"), F.max(f"max_{m}").alias(f"hi_{m}"), F.sum(f"sum_{m}").alias(f"s_{m}")
+            )],
+        )
     )
+
+
+def _router_rollup(per_router: DataFrame) -> DataFrame:
     rolled = per_router.rollup("router_id").agg(
         F.grouping("router_id").cast("int").alias("is_total"),
         F.sum("n").alias("sample_count"),

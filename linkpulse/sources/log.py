@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import is_blank, round_dp
 from ..operators.ingest import BAD_JSON, BLANK, parse_lines
-from ..schema import RECORD_FIELDS, RECORD_SCHEMA
-from .jsonl_tail import register_jsonl_tail
-from .paths import exists
+from ..schema import RAW_SCHEMA, RECORD_FIELDS, RECORD_SCHEMA
+from .jsonl_tail import BLOCK_BYTES, register_jsonl_tail
+from .paths import exists, list_files
 
 
 def _with_position(lines: DataFrame, row: Column) -> DataFrame:
@@ -54,8 +56,12 @@ def tail_log(
     path: str,
     split_bytes: int | None = None,
     max_bytes_per_batch: int | None = None,
+    marks: str | None = None,
 ) -> DataFrame | None:
-    """One growing log file as a stream; None while there is no such file."""
+    """One growing log file as a stream; None while there is no such file.
+
+    With `marks`, a folder of its own on shared storage, a log that was replaced is noticed wherever it differs.
+    """
     if not exists(spark, path):
         return None
     register_jsonl_tail(spark)
@@ -64,6 +70,8 @@ def tail_log(
         reader = reader.option("splitBytes", split_bytes)
     if max_bytes_per_batch:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_batch)
+    if marks:
+        reader = reader.option("marks", marks)
     return reader.load()
 
 
@@ -78,6 +86,28 @@ def log_tail(raw: DataFrame, n: int = 50) -> DataFrame:
     return last.limit(n).orderBy("src_file", "src_pos")
 
 
+def log_tail_file(spark: SparkSession, path: str, n: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The last `n` lines that hold JSON of a log file, or of a folder of part files, in file order.
+
+    Reads blocks from the end, twice as many bytes each time, until they hold `n` such lines or all is read.
+    """
+    register_jsonl_tail(spark)
+    parts, want = list_files(spark, path), block_bytes
+    while True:
+        ranges, left = [], want
+        for file, size in reversed(parts):  # the newest part by name first
+            if left > 0 and size:
+                ranges.append((file, max(0, size - left), size))
+                left -= size
+        if not ranges:
+            return spark.createDataFrame([], RAW_SCHEMA)
+        lines = spark.read.format("jsonl_tail").option("ranges", json.dumps(ranges)).load()
+        found = log_tail(lines, n)
+        if left >= 0 or found.count() >= n:
+            return found
+        want *= 2
+
+
 def log_stats(spark: SparkSession, path: str) -> DataFrame:
     """Files, non-blank lines and size of a log: one row."""
     per_file = (

@@ -151,6 +151,11 @@ def written(spark: SparkSession, path: str, ingest_id: str, folders: list[str] |
     return (row[0] or 0) + mixed
 
 
+def ingested(spark: SparkSession, path: str, ingest_id: str, batch: DataFrame) -> DataFrame:
+    """The stored records of one ingestion; `batch` holds their times. Other ingestions' files are skipped by their statistics."""
+    return read_folders(spark, path, _Touched(batch, path).folders()).filter(F.col("ingest_id") == ingest_id)
+
+
 def largest_id(spark: SparkSession, path: str, but: str) -> int:
     """The largest stored id, from the footers; row groups of the ingestion `but` do not count."""
     groups = footers(spark, path, [f for _, f in date_folders(spark, path)])
@@ -183,7 +188,7 @@ def newest_stored(
     if minutes:
         if minutes < 0:
             raise ValueError("minutes must not be negative")
-        start = spark.range(1).select(F.to_date(_start(minutes, as_of)).alias("d")).first().d
+        start = first_day(spark, minutes, as_of)
         dated, undated = [f for f in dated if f[0] >= start], []
     taken, found, size = [], 0, 1
     while dated and found < n:
@@ -206,6 +211,11 @@ def newest_stored(
     return top(rows, n)
 
 
+def first_day(spark: SparkSession, minutes: int, as_of: datetime | str | None) -> date:
+    """The date that a window begins in."""
+    return spark.range(1).select(F.to_date(_start(minutes, as_of)).alias("d")).first().d
+
+
 def _low() -> Column:
     """The time that no record of a row group is below."""
     return F.coalesce("low", F.col("event_date").cast("timestamp"))

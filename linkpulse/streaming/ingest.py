@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections import Counter
+from datetime import date
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,22 +30,30 @@ from ..operators.ledger import ingest_status
 from ..schema import LEDGER_SCHEMA, REJECT_SCHEMA
 from ..session import require_utc
 from ..sources.log import number_rows
-from ..sources.paths import exists, file_size
-from ..sources.table import append_new, largest_id, table_metadata
+from ..sources.paths import file_size
+from ..sources.table import append_new, ingested, largest_id, table_metadata
+from .rollup import closed_batches, read_batches, roll_up
+from .states import LatestStates
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """All ledger rows; none if nothing was ingested yet."""
-    if not exists(spark, f"{path}/*/*"):
-        return spark.createDataFrame([], LEDGER_SCHEMA)
-    return spark.read.schema(LEDGER_SCHEMA).parquet(f"{path}/*/*")
+    """All ledger rows, of rolled-up and of open batches; none if nothing was ingested yet."""
+    return read_batches(spark, path, LEDGER_SCHEMA)
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     """All rejected lines stored by the stream; none if there was none yet."""
-    if not exists(spark, f"{path}/*/*"):
-        return spark.createDataFrame([], REJECT_SCHEMA)
-    return spark.read.schema(REJECT_SCHEMA).parquet(f"{path}/*/*")
+    return read_batches(spark, path, REJECT_SCHEMA)
+
+
+def roll_up_closed_days(spark: SparkSession, sink: IngestSink, before: date | None = None) -> int:
+    """Gather ledger and rejects of days before `before` (today); returns how many batch folders went.
+
+    The rejects go first: the ledger says which batches are closed.
+    """
+    closed = closed_batches(read_ledger(spark, sink.ledger), before)
+    gone = roll_up(spark, sink.rejects, REJECT_SCHEMA, closed) if sink.rejects else 0
+    return gone + roll_up(spark, sink.ledger, LEDGER_SCHEMA, closed)
 
 
 def with_arrival_id(lines: DataFrame, first_id: int) -> DataFrame:
@@ -80,7 +89,9 @@ class IngestSink:
         ledger: str | None = None,
         key: str = "timestamp",
         strict: bool = False,
+        states: str | None = None,
     ):
+        self.states = states
         self.table, self.rejects, self.ledger = table, rejects, ledger
         self.key, self.strict = key, strict
         self.next_id: int | None = None  # read from the table when a run starts
@@ -108,6 +119,9 @@ class IngestSink:
                 try:
                     last_id = valid.agg(F.max("id")).first()[0]
                     inserted = append_new(valid, self.table, ingest_id, self.key)
+                    if self.states:
+                        own = ingested(spark, self.table, ingest_id, valid)
+                        LatestStates(spark, self.states).apply(own, run, batch_id)
                     self.next_id = last_id + 1
                 finally:
                     valid.unpersist()
@@ -278,6 +292,7 @@ __all__ = [
     "read_ledger",
     "record_failure",
     "read_rejects",
+    "roll_up_closed_days",
     "start_ingest",
     "with_arrival_id",
 ]

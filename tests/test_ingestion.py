@@ -271,3 +271,55 @@ def test_log_tail_order(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     assert got == [f"R{s}" for s in range(140, 200)]
+
+
+def test_log_replaced_in_the_middle(site, monkeypatch):
+    """Both ends equal, the middle another one: the digests of the blocks tell."""
+    from linkpulse.sources import jsonl_tail
+
+    monkeypatch.setattr(jsonl_tail, "BLOCK_BYTES", 2048)
+    monkeypatch.setattr(jsonl_tail, "FINGERPRINT_BYTES", 256)
+    marks = str(site.folder / "marks")
+    lines = [at(s, f"R{s}") for s in range(60)]
+    site.write(*lines)
+    assert outcome(site.cycle(marks=marks, split_bytes=5000))[2] == 60
+    assert outcome(site.cycle(marks=marks)) == ("up_to_date", 0, 0, 0)
+    site.write(*[at(s + 1, f"Q{s}") if 25 <= s < 35 else text for s, text in enumerate(lines)])
+    found = [outcome(site.cycle(marks=marks, split_bytes=5000)) for _ in range(4)]
+    assert sum(f[2] for f in found) == 10 and site.table().count() == 70
+    site.write(at(59, "R77"), mode="a")
+    assert outcome(site.cycle(marks=marks)) == ("success", 1, 1, 0)
+
+
+def test_cycle_counts_all_batches(site, monkeypatch):
+    """More batches than the stream keeps reports of."""
+    folder = site.folder / "parts"
+    folder.mkdir()
+    for i in range(7):
+        (folder / f"part-{i}.jsonl").write_text(at(i, f"R{i}") + "\n")
+    site.spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        report = ingest_once(stream_log(site.spark, str(folder), 1), site.sink, str(site.folder / "checkpoint"))
+    finally:
+        site.spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert outcome(report) == ("success", 7, 7, 0)
+
+
+def test_tail_from_the_end(spark, tmp_path):
+    from linkpulse.sources.log import log_tail_file
+
+    path = tmp_path / "log.jsonl"
+    lines = [at(i % 60, f"R{i}") if i % 3 else "junk" for i in range(3000)]
+    path.write_text("\n".join(lines) + "\n")
+    for n, block in ((1, 300), (50, 1000), (5000, 1000)):
+        got = log_tail_file(spark, str(path), n, block)
+        assert [r.value for r in got.collect()] == [x for x in lines if x != "junk"][-n:]
+    # fifty lines of a long log: a few blocks from its end
+    few = log_tail_file(spark, str(path), 50, 4000)
+    assert min(r.src_pos.block for r in few.collect()) > path.stat().st_size - 40_000
+    parts = tmp_path / "parts"
+    parts.mkdir()
+    for i in range(5):
+        (parts / f"part-{i}").write_text("\n".join(lines[600 * i : 600 * (i + 1)]) + "\n")
+    assert [r.value for r in log_tail_file(spark, str(parts), 700, 2000).collect()] == [x for x in lines if x != "junk"][-700:]
+    assert log_tail_file(spark, str(tmp_path / "none")).collect() == []

@@ -144,3 +144,108 @@ def test_no_table_yet(spark, tmp_path):
     path = str(tmp_path / "none")
     assert newest_stored(spark, path, 3).collect() == [] and newest_stored(spark, path, 3, router_id="R1").collect() == []
     assert largest_id(spark, path, "x") == 0 and written(spark, path, "x") == 0 and date_folders(spark, path) == []
+
+
+def test_statistics_from_partials(spark, ten_days, tmp_path):
+    from linkpulse.operators import stats
+    from linkpulse.sources.partials import DailyPartials
+
+    path, as_of = str(tmp_path / "copy"), "2026-10-09 12:00:00"
+    append_new(read_telemetry(spark, ten_days).drop("event_date", "imported_at", "ingest_id"), path, "old")
+    partials = DailyPartials(spark, path, str(tmp_path / "partials"))
+    text = lambda df: sorted(str(r) for r in df.collect())
+
+    def check():
+        table = read_telemetry(spark, path)
+        for minutes in (None, 3 * 1440 + 600):
+            assert text(partials.stats(minutes, as_of)) == text(stats.stats(table, minutes, as_of))
+        assert text(partials.router_stats()) == text(stats.router_stats(table))
+
+    check()  # nothing stored yet: all from the records
+    assert partials.refresh() == 11 and partials.refresh() == 0
+    check()
+    # whole days come from the partials: only the first day's records are opened, and no stale ones
+    got = partials.stats(3 * 1440 + 600, as_of)
+    assert {f for f in got.inputFiles() if "/copy/" in f} == {f for f in got.inputFiles() if "event_date=2026-10-06" in f and "/copy/" in f}
+    assert append_new(batch(spark, [line("R8", stamp(FIRST + timedelta(days=7, minutes=1)))], 900), path, "late") == 1
+    assert [str(d) for d, _ in partials.stale()] == ["2026-10-08"]
+    check()
+    assert partials.refresh() == 1
+    check()
+    assert partials.stats(list_routers=False).first().routers is None
+
+
+def test_snapshot_of_latest_states(spark, tmp_path):
+    from linkpulse.operators.registry import router_states
+    from linkpulse.streaming.ingest import IngestSink, ingest_batch
+    from linkpulse.streaming.states import LatestStates
+
+    sink = IngestSink(str(tmp_path / "table"), None, str(tmp_path / "ledger"), states=str(tmp_path / "states"))
+    states = LatestStates(spark, sink.states)
+    assert states.states().collect() == []
+
+    def check():
+        assert list(map(str, states.states().collect())) == list(map(str, router_states(read_telemetry(spark, sink.table)).collect()))
+
+    def ingest(lines, run, number=0):
+        ingest_batch(raw(spark, lines), sink, run, number)
+        check()
+
+    first = [line(f"R{i % 4}", stamp(FIRST + timedelta(minutes=i))) for i in range(20)]
+    ingest(first, "a")
+    ingest(first[:5] + [line("R1", stamp(FIRST - timedelta(days=3)), latency=1.0), line("R9", "junk")], "b")  # repeated, late, without a time
+    ingest([line("R2", stamp(FIRST + timedelta(days=1)), latency=2.0)], "a", 1)
+    ingest([line("R2", stamp(FIRST + timedelta(days=1)), latency=2.0)], "a", 1)  # replayed
+    own = read_telemetry(spark, sink.table).filter("ingest_id = 'a/1'")
+    assert own.count() == 1 and not states.apply(own, "a", 1)
+    # a snapshot without its mark does not count
+    read_telemetry(spark, sink.table).limit(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{sink.states}/snapshot=99")
+    check()
+
+
+def test_closed_days_are_rolled_up(spark, tmp_path, monkeypatch):
+    from datetime import date
+
+    from linkpulse.operators.ledger import ingest_status
+    from linkpulse.schema import LEDGER_SCHEMA
+    from linkpulse.streaming import rollup
+    from linkpulse.streaming.ingest import IngestSink, read_ledger, read_rejects, roll_up_closed_days
+    from linkpulse.schema import REJECT_SCHEMA
+
+    monkeypatch.setattr(rollup, "MERGE", 3)
+    sink = IngestSink(str(tmp_path / "t"), str(tmp_path / "rejects"), str(tmp_path / "ledger"))
+
+    def batches(first, n, day):
+        ids = spark.range(first, first + n)
+        name = F.concat(F.lit("q/"), F.col("id"))
+        ledger = ids.select(name.alias("ingest_id"), F.col("id").alias("batch_id"), F.lit(5).cast("long").alias("lines_read"), F.lit(3).cast("long").alias("inserted"), F.lit(2).cast("long").alias("errors"),
+                            F.lit(f"{day} 10:00:00").cast("timestamp").alias("polled_at"), F.lit("e").alias("last_error"), F.lit("t").alias("last_imported_timestamp"), F.col("id").alias("last_id"))
+        rejects = ids.select(F.lit("v").alias("value"), F.lit("f").alias("src_file"), F.struct(F.col("id").alias("block"), F.lit(0).cast("long").alias("row")).alias("src_pos"), F.lit("r").alias("reject_reason"), name.alias("ingest_id"))
+        for df, schema, to in ((ledger, LEDGER_SCHEMA, sink.ledger), (rejects, REJECT_SCHEMA, sink.rejects)):
+            own = df.select(*schema.names).withColumns({"run": F.lit("q"), "batch": F.substring_index("ingest_id", "/", -1)})
+            own.coalesce(1).write.mode("append").partitionBy("run", "batch").parquet(to)
+
+    def count():
+        status = ingest_status(read_ledger(spark, sink.ledger)).first()
+        return status.batches, status.total_lines_read, read_rejects(spark, sink.rejects).count(), read_ledger(spark, sink.ledger).count()
+
+    batches(0, 100, "2026-10-01")
+    batches(100, 20, "2026-10-02")
+    assert count() == (120, 600, 120, 120)
+    # interrupted before the mark: the generation does not count, and is written anew
+    read_ledger(spark, sink.ledger).limit(7).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{sink.ledger}/rolled/gen=1-1")
+    assert count() == (120, 600, 120, 120)
+    # interrupted after the mark: batches are there twice, and count once
+    kept = []
+    monkeypatch.setattr(rollup, "remove", lambda s, p: kept.append(p) if "/batch=" in p else None)
+    roll_up_closed_days(spark, sink, date(2026, 10, 2))
+    assert len(kept) == 200 and count() == (120, 600, 120, 120)
+    monkeypatch.undo()
+    monkeypatch.setattr(rollup, "MERGE", 3)
+    assert roll_up_closed_days(spark, sink, date(2026, 10, 2)) == 200
+    assert len(rollup.open_batches(spark, sink.ledger)) == 20 and count() == (120, 600, 120, 120)
+    for i in range(3):  # many generations become one
+        batches(200 + 3 * i, 3, "2026-10-03")
+        roll_up_closed_days(spark, sink, date(2026, 10, 4))
+    assert len(rollup.generations(spark, sink.ledger)) < 3 and rollup.open_batches(spark, sink.ledger) == []
+    assert count() == (129, 645, 129, 129)
