@@ -194,6 +194,20 @@ def oracles() -> dict[str, str]:
     """SQL by query name."""
     return {
         "telemetry_scan": _with("SELECT * FROM t"),
+        "stored_latest_n": _newest("TRUE", 50),
+        "stored_recent_window": _newest(f"event_time >= {_AS_OF} - INTERVAL 1440 MINUTE", 2000),
+        "stored_router_history": _newest("router_id = 'R7'", 50),
+        "stored_stats_week": _document(f"event_time >= {_AS_OF} - INTERVAL 10080 MINUTE", "10080"),
+        "stored_router_stats": _with(
+            f"""SELECT router_id, CAST(grouping(router_id) AS INT) AS is_total, count(*) AS sample_count,
+ {_stats_columns(False)} FROM t GROUP BY ROLLUP (router_id)"""
+        ),
+        "stored_router_states": _with("SELECT * FROM states", _STATES),
+        "stored_metadata": _with(
+            """SELECT count(*) AS total_records, count(DISTINCT router_id) AS router_count, min(event_time) AS earliest,
+ max(event_time) AS latest, TRUE AS has_files FROM t"""
+        ),
+        "log_tail_times": _with('SELECT "timestamp" FROM t WHERE id % 50 NOT IN (0, 1) ORDER BY id DESC LIMIT 50'),
         "recent_window": _newest(f"event_time >= {_AS_OF} - INTERVAL 1440 MINUTE", 2000),
         "recent_router_window": _newest(
             f"event_time >= {_AS_OF} - INTERVAL 1440 MINUTE AND router_id = 'R7'", 2000

@@ -26,15 +26,12 @@ def query(f: Query) -> Query:
 
 def all_queries() -> dict[str, Query]:
     """All registered queries."""
-    return dict(_QUERIES)
+    from .stored import STORED
 
-
-# --- Scans, filters, newest-N ---
+    return _QUERIES | {q.__name__: q for q in STORED}
 
 
-@query
-def telemetry_scan(spark, d):
-    return views.telemetry(spark, d)
+# --- Scans, filters, newest-N ---
 
 
 @query
