@@ -15,6 +15,7 @@ from ..schema import (
     METRICS,
     PERCENT_METRICS,
     RECORD_FIELDS,
+    RECORD_SCHEMA,
     ROUTER_ID_MAX_LENGTH,
 )
 
@@ -33,6 +34,22 @@ _NON_FINITE_TEXT = r"^\s*[+-]?(?i:nan|inf|infinity)\s*$"
 _NON_FINITE_TOKEN = r"([:\[,]\s*)(?:NaN|-?Infinity)(?=\s*[,}\]])"
 
 
+
+
+def _plain_line() -> str:
+    """Pattern of a line as the log's writer leaves it: every field, in order, of its own kind, nothing escaped.
+
+    What such a line holds is plain from its text, so that a typed parser cannot read it otherwise than the variant one.
+    """
+    text, number = r'"[^"\\\x00-\x1f]*"', r"-?(?:0|[1-9]\d{0,14})(?:\.\d{1,30})?(?:[eE][+-]?\d{1,3})?"
+    kinds = {m: number for m in METRICS} | {"active_fault": f"(?:null|{text})"}
+    fields = [f'"{f}": ?{kinds.get(f, text)}' for f in RECORD_FIELDS]
+    return r"^\{" + ", ?".join(fields) + r"\}$"
+
+
+_PLAIN = _plain_line()
+
+
 def _parse(text: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
 
@@ -40,14 +57,17 @@ def _parse(text: Column) -> Column:
 def parse_lines(raw: DataFrame) -> DataFrame:
     """Parse each line.
 
-    Adds `doc` (a VARIANT holding `[value, end mark]`) and `parse_reason`, which is
-    NULL for a JSON object. Blank lines get the reason `blank`; they were read, but
+    Adds `typed`, the record fields of a line that is written plainly; for other lines `doc` (a VARIANT holding
+    `[value, end mark]`); and `parse_reason`, which is NULL for a JSON object. Blank lines get the reason `blank`; they were read, but
     are no error. They are not filtered out here: the filter would be pushed below
     whatever makes the lines and have it done twice.
     """
     lines = raw.withColumn("value", F.make_valid_utf8("value"))
     lines = lines.withColumn("text", strip("value"))
-    parsed = lines.withColumn("doc", _parse(F.col("text")))
+    plain = F.when(F.col("text").rlike(_PLAIN), F.col("text"))
+    lines = lines.withColumn("typed", F.from_json(plain, RECORD_SCHEMA))
+    is_plain = F.col("typed").isNotNull()
+    parsed = lines.withColumn("doc", _parse(F.when(~is_plain, F.col("text"))))
     # Two elements and no third: text of the line cannot pass for the end mark.
     whole = F.coalesce(F.try_variant_get("doc", "$[1]", "string") == _END, F.lit(False)) & F.try_variant_get(
         "doc", "$[2]", "variant"
@@ -56,7 +76,8 @@ def parse_lines(raw: DataFrame) -> DataFrame:
     return parsed.withColumn(
         "parse_reason",
         # A whole JSON value that starts with a brace is an object.
-        F.when(F.col("text") == "", F.lit(BLANK))
+        F.when(is_plain, F.lit(None))
+        .when(F.col("text") == "", F.lit(BLANK))
         .when(whole, F.when(~F.col("text").startswith("{"), F.lit(NOT_OBJECT)))
         .when(F.col("text").rlike(_NON_FINITE_TOKEN) & retried.isNotNull(), F.lit(NON_FINITE))
         .otherwise(F.lit(BAD_JSON)),
@@ -114,17 +135,21 @@ def label(parsed: DataFrame) -> DataFrame:
     one-row `inline`: a filter on the verdict then stays above it instead of being
     pushed below, where the whole evaluation would run a second time.
     """
-    keep = [c for c in parsed.columns if c not in ("doc", "parse_reason")]
+    keep = [c for c in parsed.columns if c not in ("doc", "typed", "parse_reason")]
+    plain = F.col("typed").isNotNull()
     shape = "struct<" + ",".join(f"{f}:variant" for f in RECORD_FIELDS) + ">"
     members = parsed.select(
-        *keep, "parse_reason", F.try_variant_get("doc", "$[0]", shape).alias("m")
-    )
-    kinds = members.select(
-        "*", *[F.schema_of_variant(F.col(f"m.{f}")).alias(f"kind_{f}") for f in RECORD_FIELDS]
+        *keep, "typed", "parse_reason", F.try_variant_get("doc", "$[0]", shape).alias("m")
     )
 
+    def kind(f: str) -> Column:
+        own = F.lit("DOUBLE") if f in METRICS else F.when(F.col(f"typed.{f}").isNull(), F.lit("VOID")).otherwise(F.lit("STRING"))
+        return F.when(plain, own).otherwise(F.schema_of_variant(F.col(f"m.{f}")))
+
+    kinds = members.select("*", *[kind(f).alias(f"kind_{f}") for f in RECORD_FIELDS])
+
     def text(f: str) -> Column:
-        return F.try_variant_get(F.col(f"m.{f}"), "$", "string")
+        return F.when(plain, F.col(f"typed.{f}")).otherwise(F.try_variant_get(F.col(f"m.{f}"), "$", "string"))
 
     values = kinds.select(
         *keep,
@@ -132,7 +157,7 @@ def label(parsed: DataFrame) -> DataFrame:
         *[f"kind_{f}" for f in RECORD_FIELDS],
         strip(text("timestamp")).alias("timestamp"),
         strip(text("router_id")).alias("router_id"),
-        *[_number(m).alias(m) for m in METRICS],
+        *[F.when(plain, F.col(f"typed.{m}")).otherwise(_number(m)).alias(m) for m in METRICS],
         F.when(F.col("kind_status").isNull(), F.lit(DEFAULT_STATUS))
         .otherwise(text("status"))
         .alias("status"),

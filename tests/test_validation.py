@@ -140,3 +140,18 @@ def test_huge_numbers_survive_rounding(spark):
 def test_first_arrival_keeps_the_first_payload(spark):
     rows = accepted(label(parse_lines(raw(spark, [line(latency=i) for i in (3.0, 1.0, 2.0)]))))
     assert [r.latency for r in first_arrival(rows.repartition(3)).collect()] == [3.0]
+
+
+def test_plain_and_other_lines_are_read_alike(spark):
+    """A line as the writer leaves it takes the typed way, the same record with more space around its parts the other."""
+    records = [
+        record(), record(latency=-5.0), record(packet_loss=105.0), record("   "), record("R" * 65), record(timestamp=" "), record(cpu_usage=1e-7),
+        record(latency=1e300), record(latency=12345678901234567890.0), record(active_fault="High Jitter", status="FAULTED"), record(status=""),
+        record("Ré"), record("a\\b"), record('q"uote'), record(jitter=0.1 + 0.2), record(memory_usage=100), record(latency=0),
+    ]
+    plain = label(parse_lines(raw(spark, [json.dumps(r, ensure_ascii=False) for r in records]))).orderBy("src_pos")
+    other = label(parse_lines(raw(spark, [json.dumps(r, indent=1).replace("\n", " ") for r in records]))).orderBy("src_pos")
+    columns = [c for c in plain.columns if c != "value"]
+    assert plain.select(columns).collect() == other.select(columns).collect()
+    typed = parse_lines(raw(spark, [json.dumps(records[0]), json.dumps(records[0], indent=1).replace("\n", " "), line(latency="7")])).orderBy("src_pos")
+    assert [r.typed is not None for r in typed.collect()] == [True, False, False]
