@@ -11,7 +11,7 @@ from .common import stored
 def _with_least(edges: DataFrame) -> DataFrame:
     """Each edge (u, v) with m, the least of u and all its neighbours."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    return edges.join(stored(least, "least"), "u")
 
 
 def _all_stars(edges: DataFrame) -> bool:
@@ -25,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     """`(node, label)` of every node of the edges `(a, b)`: the label is the least node of its component.
 
     Each round shuffles the edges a few times and stores them; the number of edges never grows, and rounds are about
-    the logarithm of the longest chain. A node with very many edges is split by the adaptive skew join, since the side
-    that holds its least neighbour has one row.
+    the logarithm of the longest chain. A node with very many edges is split by the adaptive skew join: the side that
+    holds its least neighbour has one row and is stored first, since Spark does not split a join with an aggregate of the key.
     """
     now = stored(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"

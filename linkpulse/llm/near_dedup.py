@@ -13,10 +13,12 @@ Groups are not expanded into pairs. Texts with equal sets are one class from the
 members with one of them only. Buckets that then still hold several components are looked at again, without those members that
 share too few shingles with any other to be linked at all. A member outside its bucket's largest component is compared
 with all of that component and with the bucket's other such members, in blocks: tasks hold bounded blocks of full
-sets and return links only. No candidate that could be a link is dropped.
+sets, bounded in shingles and in rows, and return a spanning forest of the components that they found linked, fewer links
+than a block has components. No candidate that could be a link is dropped.
 
 Defined results: texts without words and null texts have an empty set and link with nothing. A row without an id links with nothing,
-has no component and is kept. Repeated rows fall into one class. An empty table gives an empty result.
+has no component and is kept. Repeated rows fall into one class. Rows of one id with different texts link as one document;
+`keep_one` then keeps one row of each text of an id that stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ PERCENT = 80
 WIDTH = 5
 #: Shingles that one side of a block holds, about.
 BLOCK_SHINGLES = 400_000
+#: Sets that one side of a block holds, about.
+BLOCK_ROWS = 8_192
 
 _VALUE_BITS = 64 - int(np.log2(REGISTERS))
 _PROBES = np.random.Generator(np.random.PCG64(7)).integers(0, REGISTERS, (512, REGISTERS))
@@ -127,21 +131,16 @@ def _sketch_udf(width: int):
     return sketch
 
 
-_SET = T.StructType([T.StructField("s", T.ArrayType(T.LongType())), T.StructField("registers", T.BinaryType())])
-
-
 def _set_udf(width: int):
-    @F.arrow_udf(_SET)
+    @F.arrow_udf(T.ArrayType(T.LongType()))
     def full_set(texts: pa.Array) -> pa.Array:
         data, offsets = flat(texts)
-        values, ends, regs = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [np.zeros((0, REGISTERS), np.uint16)]
+        values, ends = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
         for i, j in row_chunks(offsets):
             sets, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
             values.append(sets)
             ends.append(at[1:] + ends[-1][-1])
-            regs.append(registers_of(sets, at))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(values).view(np.int64)))
-        return pa.StructArray.from_arrays([lists, _binary(np.concatenate(regs))], ["s", "registers"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(values).view(np.int64)))
 
     return full_set
 
@@ -178,27 +177,31 @@ class _Classes:
         )
         rows = self.classes.select(F.explode(bands).alias("bucket"), "node", "n")
         shared = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("hi")).filter("centre <> hi")
-        self.buckets = stored(rows.join(shared.select("bucket", "centre"), "bucket"), "buckets")
+        # stored, so that both sides of the join are plain and a hot bucket can be split
+        shared = stored(shared.select("bucket", "centre"), "shared")
+        self.buckets = stored(maybe_among(rows, "bucket", shared).join(shared, "bucket"), "buckets")
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
-        """The full sets and registers of some nodes, stored."""
+        """The full sets of some nodes, stored."""
         docs = self.docs.select(F.col("doc_id").alias("node"), text_of(self.docs).alias("text"))
         docs = maybe_among(docs, "node", nodes).join(nodes, "node")
-        return stored(docs.select("node", _set_udf(self.width)("text").alias("x")).select("node", "x.*"), "sets")
+        return stored(docs.select("node", _set_udf(self.width)("text").alias("s")), "sets")
 
-    def centre_links(self) -> tuple[DataFrame, DataFrame]:
-        """Links (a, b) of members with the smallest id of a bucket of theirs; the full sets of all members."""
+    def centre_links(self) -> DataFrame:
+        """Links (a, b) of members with the smallest id of a bucket of theirs: first the registers decide, then the sets."""
         pairs = self.buckets.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
         pairs = stored(pairs, "pairs")
-        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        of = lambda x: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("s", "registers")])
-        size = lambda x: F.size(f"s_{x}").cast("long")
+        of = lambda x: self.classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "registers")])
         both = pairs.join(of("a"), "a").join(of("b"), "b")
-        both = both.filter(F.least(size("a"), size("b")) * 100 >= F.greatest(size("a"), size("b")) * self.percent)
-        likely = both.filter(_estimate_udf("registers_a", "registers_b", size("a"), size("b")) >= LEAST_ESTIMATE)
+        both = both.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
+        likely = both.filter(_estimate_udf("registers_a", "registers_b", "n_a", "n_b") >= LEAST_ESTIMATE)
+        likely = stored(likely.select("a", "b").distinct(), "likely")
+        sets = self.sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        of = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"))
+        size = lambda x: F.size(f"s_{x}").cast("long")
         common = F.size(F.array_intersect("s_a", "s_b"))
         similar = common * 100 >= (size("a") + size("b") - common) * self.percent
-        return stored(likely.filter(similar).select("a", "b"), "links"), sets
+        return stored(likely.join(of("a"), "a").join(of("b"), "b").filter(similar).select("a", "b"), "links")
 
     def mixed(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """Rows of buckets that hold several components, each with its label."""
@@ -217,15 +220,16 @@ class _Classes:
 
     def labels(self) -> DataFrame:
         """`(node, label)` of all classes that are linked with another."""
-        links, sets = self.centre_links()
+        links = self.centre_links()
         labels = stored(components(links), "labels")
         rows = stored(self.mixed(self.buckets, labels), "mixed")
+        sets = self.sets_of(rows.select("node").distinct())
         rows = stored(self.eligible(rows, sets).drop("c"), "eligible")
         more = stored(self.open_links(rows, sets), "links")
         return stored(components(links.unionByName(more)), "labels")
 
     def open_links(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between different components of a bucket, each pair once or more."""
+        """Links between different components of a bucket, enough to connect what is linked."""
         sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("k"))
         major = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("major"), F.count("*").alias("labels"))
         minor = stored(rows.join(major, "bucket").filter("label <> major"), "minor")
@@ -236,11 +240,12 @@ class _Classes:
         return self.block_links(inside, inside, sets).unionByName(self.block_links(against, members, sets))
 
     def block_links(self, left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links (a, b) between left and right rows of one key that differ in label.
+        """Links (a, b) that connect the labels of left and right rows of one key that are linked.
 
-        Each side of a key is cut into blocks of about BLOCK_SHINGLES; a task takes one block of each side.
+        Each side of a key is cut into blocks of about BLOCK_SHINGLES or BLOCK_ROWS; a task takes one block of each side.
         """
-        blocks = lambda df, name: df.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias(name))
+        cuts = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_ROWS)).cast("int")
+        blocks = lambda df, name: df.groupBy("key").agg(cuts.alias(name))
         counts = stored(blocks(left, "nl").join(blocks(right, "nr"), "key"), "block-counts")
 
         def dealt(df, own, other, side):
@@ -256,15 +261,17 @@ class _Classes:
 
 def _block(percent: int):
     def links(t: pa.Table) -> pa.Table:
-        """Pairs of a left and a right set that are similar enough and of different labels."""
+        """Similar pairs of a left and a right set, one for each two labels that nothing before has joined."""
         side = t["side"].to_numpy()
         node, label = t["node"].to_numpy(), t["label"].to_numpy()
         lists = t["s"].combine_chunks()
         at, flat_sets = lists.offsets.to_numpy(), lists.values.to_numpy()
         sets = [flat_sets[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        out = []
         if len(left) and len(right):
+            # the group each row is in so far: rows of one label are one from the start
+            group = np.unique(label, return_inverse=True)[1]
             sizes = np.array([len(sets[i]) for i in left])
             all_left = np.concatenate([sets[i] for i in left])
             order = np.argsort(all_left, kind="stable")
@@ -274,10 +281,12 @@ def _block(percent: int):
                 runs = hi - lo
                 places = np.repeat(lo - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
                 common = np.bincount(owner[places], minlength=len(left))
-                good = (common * 100 >= (sizes + len(sets[j]) - common) * percent) & (label[left] != label[j])
-                out_a.append(node[left[good]])
-                out_b.append(np.full(int(good.sum()), node[j]))
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
+                good = (common * 100 >= (sizes + len(sets[j]) - common) * percent) & (group[left] != group[j])
+                near, first = np.unique(group[left[good]], return_index=True)
+                if len(near):
+                    out += [(node[i], node[j]) for i in left[good][first]]
+                    group[np.isin(group, near)] = group[j]
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return links
@@ -303,5 +312,5 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """`docs` with one document of each group of near duplicates, all input columns as they were."""
     kept = near_duplicates(docs, width, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.filter("doc_id IS NULL"))

@@ -202,9 +202,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, all input columns as they were."""
-    columns = docs.columns
-    slim = stored(measure(docs.select("text", "lang", "source")).drop("text"), "measures")
-    limits = thresholds(sketches(slim))
-    packed = docs.select(F.struct(*[docs[c] for c in columns]).alias("__row"), "text", "lang", "source")
-    return judge(measure(packed), limits).filter("kept").select("__row.*")
+    """The documents that the rules keep, all input columns as they were.
+
+    Measured once: the rows are stored with their counts, thresholds and verdicts are taken from there.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(F.lit(0).alias("__none"), *[docs[c] for c in others]).alias("__row"), "text", "lang", "source")
+    measured = stored(measure(packed), "measured")
+    limits = stored(thresholds(sketches(measured)), "limits")
+    kept = judge(measured, limits).filter("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"__row.`{c}`") for c in docs.columns])
