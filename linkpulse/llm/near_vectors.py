@@ -2,7 +2,8 @@
 
 Every distinct vector keeps a list of its nearest others. The lists start from random groups. In a round, each vector brings the
 members of its list, and those in whose lists it stands, together; they are compared with one another, and whoever finds a
-nearer neighbour takes it into its list. Pairs that met before are not compared again. Rounds end when few entries change.
+nearer neighbour takes it into its list. Pairs that met before are not compared again, and a vector whose members have all met
+sits the round out. Rounds end when few entries change.
 
 A list whose last entry is still above the threshold is saturated: there may be more. Where a saturated neighbourhood
 lies so close around one vector (within half the threshold's angle) that all its members are linked with each other for
@@ -44,7 +45,7 @@ LIST, GROUP = 16, 64
 #: Members that one task compares with one another at most; a hub's are dealt to chunks of about that size.
 HUB = 256
 #: Rounds end when this share of all entries is new, at most.
-FEW_NEW = 0.05
+FEW_NEW = 0.1
 AUDITED, GOAL = 1_024, 0.98
 #: Members of a ball that a block holds, about.
 BLOCK = 2_048
@@ -150,23 +151,28 @@ class _Graph:
         self.balls = None  # (node, leader, angle)
         self.turn = np.arccos(threshold)
 
-    def random_groups(self) -> DataFrame:
-        """Every active node in one group of about GROUP, dealt by chance."""
+    def random_groups(self, restarted: DataFrame | None) -> DataFrame:
+        """Every active node in one group of about GROUP, dealt by chance; of use to the restarted ones, or to all."""
         self.seed += 1
         group = F.pmod(F.xxhash64(F.lit(self.seed), "node"), F.lit(-(-self.active // GROUP)))
+        fresh = F.lit(1)
+        nodes = self.nodes.select("node")
+        if restarted is not None:
+            nodes, fresh = nodes.join(restarted.withColumn("again", F.lit(1)), "node", "left"), F.coalesce("again", F.lit(0))
         # groups are centres of their own, apart from the nodes by their sign
-        return self.nodes.select((-group - 1).alias("centre"), F.col("node").alias("member"), F.lit(1).alias("fresh"))
+        return nodes.select((-group - 1).alias("centre"), F.col("node").alias("member"), fresh.alias("fresh"))
 
-    def round(self, more: DataFrame | None = None) -> float:
-        """One round over lists and further entries `(centre, member, fresh)`; the share of entries that are new."""
+    def round(self, more: DataFrame | None = None) -> int:
+        """One round over lists and further entries `(centre, member, fresh)`; the number of new entries."""
         self.seed += 1
         entry = lambda c, m: F.struct(F.col(c).alias("centre"), F.col(m).alias("member"), "fresh")
         met = self.lists.select(F.explode(F.array(entry("node", "nbr"), entry("nbr", "node"))).alias("e")).select("e.*")
         met = met.unionByName(more) if more is not None else met
-        hubs = met.groupBy("centre").agg(F.count("*").alias("n")).filter(F.col("n") > HUB)
-        hubs = stored(hubs.select("centre", F.ceil(F.col("n") / HUB).cast("int").alias("chunks")), "hubs")
-        chunk = F.pmod(F.xxhash64(F.lit(self.seed), "member"), F.coalesce("chunks", F.lit(1))).cast("int")
-        met = met.join(hubs, "centre", "left").select("centre", chunk.alias("chunk"), "member", "fresh")
+        # centres that have a member to introduce, and into how many chunks their members are dealt
+        centres = met.groupBy("centre").agg(F.ceil(F.count("*") / HUB).cast("int").alias("chunks"), F.max("fresh").alias("any")).filter("any = 1")
+        centres = stored(centres.select("centre", "chunks"), "centres")
+        chunk = F.pmod(F.xxhash64(F.lit(self.seed), "member"), F.col("chunks")).cast("int")
+        met = met.join(centres, "centre").select("centre", chunk.alias("chunk"), "member", "fresh")
         last = self.lists.groupBy("node").agg(F.count("*").alias("n"), F.min("cos").alias("least_cos"))
         bound = F.when(F.col("n") >= F.col("k"), F.col("least_cos")).otherwise(F.lit(-2.0))
         now = stored(self.nodes.join(last, "node", "left").select(F.col("node").alias("member"), "v", "k", bound.alias("bound")), "bounds")
@@ -178,15 +184,15 @@ class _Graph:
         top = both.withColumn("rank", rank).filter(F.col("rank") <= self.most).filter("rank <= k")
         merged = top.groupBy("node", "nbr").agg(F.max("cos").alias("cos"), F.min("fresh").alias("fresh"), F.max("k").alias("k"))
         self.lists = stored(merged.select(*_LISTS), "lists")
-        entries, new = self.lists.agg(F.count("*"), F.sum("fresh")).first()
-        return (new or 0) / max(entries, 1)
+        return self.lists.agg(F.sum("fresh")).first()[0] or 0
 
-    def descend(self, more: DataFrame | None = None) -> None:
-        """Rounds until few entries are new."""
-        groups = self.random_groups()
-        share = self.round(groups if more is None else groups.unionByName(more))
-        while share > FEW_NEW:
-            share = self.round()
+    def descend(self, more: DataFrame | None = None, restarted: DataFrame | None = None) -> None:
+        """Rounds until few entries are new, of all or of the restarted nodes'."""
+        groups = self.random_groups(restarted)
+        new = self.round(groups if more is None else groups.unionByName(more))
+        few = FEW_NEW * self.most * (self.active if restarted is None else restarted.count())
+        while new > few:
+            new = self.round()
 
     def saturated(self) -> DataFrame:
         """Active nodes whose list is full of entries that could all be links: there may be more of them."""
@@ -194,8 +200,11 @@ class _Graph:
         joined = full.join(self.nodes.select("node", "k", "reach"), "node")
         return stored(joined.filter((F.col("n") >= F.col("k")) & (F.col("last") >= F.col("reach")) & (F.col("k") < self.active - 1)).select("node"), "saturated")
 
-    def fold(self, full: DataFrame) -> tuple[int, DataFrame | None]:
-        """Folds what is certainly linked around one vector into balls: how many nodes, and entries that lead to the leaders."""
+    def fold(self, full: DataFrame) -> tuple[int, DataFrame | None, DataFrame | None]:
+        """Folds what is certainly linked around one vector into balls.
+
+        Returns how many nodes went, entries that lead to the leaders, and the nodes that lost entries.
+        """
         half = float(np.cos(self.turn / 2 - MARGIN))
         near = self.lists.filter(F.col("cos") >= half).join(full, "node", "left_semi").select(F.col("node").alias("a"), F.col("nbr").alias("b"))
         if self.balls is not None:  # leaders stay as they are
@@ -217,7 +226,7 @@ class _Graph:
         folded = stored(pairs.select("node", "label", "x", "y").mapInArrow(angles, "node long, leader long, angle double"), "folded")
         n = folded.count()
         if not n:
-            return 0, None
+            return 0, None, None
         self.balls = folded if self.balls is None else self.balls.unionByName(folded)
         self.active -= n
         gone = folded.select("node")
@@ -230,30 +239,37 @@ class _Graph:
         lead = folded.select(F.col("node").alias("nbr"), "leader")
         to_leaders = stored(alive.join(lead, "nbr").select(F.col("leader").alias("centre"), F.col("node").alias("member")).distinct(), "to-leaders")
         more = to_leaders.filter("centre <> member").unionByName(to_leaders.select("centre", F.col("centre").alias("member")).distinct())
-        self.lists = stored(alive.join(gone.select(F.col("node").alias("nbr")), "nbr", "left_anti").withColumn("fresh", F.lit(1)).select(*_LISTS), "lists")
-        return n, more.withColumn("fresh", F.lit(1))
-
-    def enlarge(self, full: DataFrame | None) -> None:
-        """Twice the list for the given nodes, or for all; what was turned down before may come in now."""
-        wide = self.nodes.select("node").withColumn("wide", F.lit(2)) if full is None else full.withColumn("wide", F.lit(2))
-        grown = self.nodes.join(wide, "node", "left").withColumn("k", (F.col("k") * F.coalesce("wide", F.lit(1))).cast("int")).drop("wide")
+        lost = stored(to_leaders.select(F.explode(F.array("centre", "member")).alias("node")).unionByName(folded.select(F.col("leader").alias("node"))).distinct(), "lost")
+        self.lists = self._fresh_for(lost, alive.join(gone.select(F.col("node").alias("nbr")), "nbr", "left_anti"))
+        return n, more.withColumn("fresh", F.lit(1)), lost
+
+    def _fresh_for(self, nodes: DataFrame, lists: DataFrame) -> DataFrame:
+        """The lists, with entries of the given nodes fresh again: what these turned down may come in now."""
+        again = nodes.withColumn("again", F.lit(1))
+        return stored(lists.drop("fresh").join(again, "node", "left").withColumn("fresh", F.coalesce("again", F.lit(0))).select(*_LISTS), "lists")
+
+    def enlarge(self, nodes: DataFrame) -> None:
+        """Twice the list for the given nodes."""
+        wide = nodes.withColumn("wide", F.lit(2))
+        grown = self.nodes.join(wide, "node", "left").withColumn("k", (F.col("k") * F.coalesce("wide", F.lit(1))).cast("int"))
         self.nodes = stored(grown.select("node", "v", "w", "least", "k", "reach"), "nodes")
-        self.lists = stored(self.lists.drop("k").join(self.nodes.select("node", "k"), "node").withColumn("fresh", F.lit(1)).select(*_LISTS), "lists")
+        self.lists = self._fresh_for(nodes, self.lists.drop("k").join(self.nodes.select("node", "k"), "node"))
         self.most = self.nodes.agg(F.max("k")).first()[0]
 
-    def grow(self) -> None:
+    def grow(self, restarted: DataFrame | None = None) -> None:
         """Rounds, folding and enlarging until no list is saturated."""
         more = None
         while True:
-            self.descend(more)
+            self.descend(more, restarted)
             full = self.saturated()
             n = full.count()
             if not n:
                 return
-            folded, more = self.fold(full)
+            folded, more, restarted = self.fold(full)
             if folded * 2 < n:
-                rest = full if not folded else stored(full.join(self.nodes.select("node"), "node", "left_semi"), "saturated")
+                rest = stored(full.join(self.nodes.select("node"), "node", "left_semi"), "saturated") if folded else full
                 self.enlarge(rest)
+                restarted = rest if restarted is None else stored(restarted.unionByName(rest).distinct(), "restarted")
 
 
 def _block_counts(width: int, threshold: float):
@@ -348,7 +364,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column: st
             recall = _audit(classes, links, graph.width, threshold)
             if recall >= GOAL or graph.most >= graph.count - 1:
                 break
-            graph.enlarge(None)
+            graph.enlarge(stored(graph.nodes.select("node"), "all"))
             graph.grow()
         of_vector = stored(classes.select("node", "v").join(links, "node").drop("node"), "vector-links")
     else:
