@@ -210,9 +210,11 @@ def scan_text(raw: bytes, index: TemplateIndex, phrases: list[tuple[bytes, str]]
     places, base = [], set()
     joined = b" " + b" ".join(words) + b" "
     for phrase, label in phrases:
-        at = joined.find(phrase)
+        at, counted, word = joined.find(phrase), 0, 0
         while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+            word += joined.count(b" ", counted, at)  # on from the last place: a long text is gone through once
+            counted = at
+            places.append(word)
             base.add(label)
             at = joined.find(phrase, at + 1)
     blocks, labels, score = [], set(base), 1.0 if base else 0.0

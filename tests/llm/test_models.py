@@ -250,3 +250,17 @@ def test_search_of_few(spark):
     assert {tuple(r) for r in exact_search.top_k(q.filter("id % 50 = 0"), q).collect()} == brute_search(rows, 5)
     none = q.filter("id < 0")
     assert exact_search.top_k(none, q).count() == 0 and exact_search.top_k(none, none).count() == 0
+
+
+def test_many_places_in_a_long_text():
+    """Each place counts, in time that grows with the text only."""
+    import time
+
+    from linkpulse.llm import licenses
+
+    phrases = [(b" cc by ", "cc-by"), (b" all rights reserved ", "reserved")]
+    index = licenses.TemplateIndex({}, {}, 80)
+    n, began = 1_000_000, time.perf_counter()
+    got = licenses.scan_text(b"x cc by " * n, index, phrases)
+    assert time.perf_counter() - began < 20
+    assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"]) == (3 * n, n, 1, 3 * n - 2)
