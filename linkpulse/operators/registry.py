@@ -17,7 +17,7 @@ from ..schema import (
     DEFAULT_INTENSITY,
     FAULT_TYPES,
     FAULTED,
-    INTENSITY_FACTORS,
+    INTENSITIES,
     METRICS,
 )
 
@@ -85,7 +85,7 @@ def clean_schedule(schedule: DataFrame) -> DataFrame:
                 F.col("fault_type").isin(*FAULT_TYPES), F.col("fault_type")
             ).otherwise(F.lit(DEFAULT_FAULT_TYPE)),
             "intensity": F.when(
-                F.col("intensity").isin(*INTENSITY_FACTORS), F.col("intensity")
+                F.col("intensity").isin(*INTENSITIES), F.col("intensity")
             ).otherwise(F.lit(DEFAULT_INTENSITY)),
         }
     )

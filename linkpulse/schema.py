@@ -39,9 +39,12 @@ FAULT_TYPES = (
 )
 DEFAULT_FAULT_TYPE = "CPU Overload"
 
-INTENSITY_FACTORS = {"Low": 0.4, "Medium": 0.7, "High": 1.0}
+INTENSITIES = ("Low", "Medium", "High")
 DEFAULT_INTENSITY = "High"
 
+# What an ingestion cycle comes to.
+WAITING, UP_TO_DATE, SUCCESS, ERROR = "waiting_for_file", "up_to_date", "success", "error"
+
 DEFAULT_STATUS = "ACTIVE"
 FAULTED = "FAULTED"
 

@@ -27,7 +27,7 @@ from ..operators.ingest import (
     strict_times,
 )
 from ..operators.ledger import ingest_status
-from ..schema import LEDGER_SCHEMA, REJECT_SCHEMA
+from ..schema import ERROR, LEDGER_SCHEMA, REJECT_SCHEMA, SUCCESS, UP_TO_DATE, WAITING
 from ..session import require_utc
 from ..sources.log import number_rows
 from ..sources.paths import file_size
@@ -204,7 +204,7 @@ def ingest_once(
         except StreamingQueryException as e:  # an outcome of a cycle like any other
             if sink.ledger:
                 record_failure(lines.sparkSession, sink, f"{query.id}", str(e))
-            return {**cycle_status(sink.tally), "status": "error", "error": str(e)}
+            return {**cycle_status(sink.tally), "status": ERROR, "error": str(e)}
         # the stream keeps its last few reports only: enough for the position, not for the totals
         steps = [p for p in query.recentProgress if p["numInputRows"] > 0]
         last = steps[-1] if steps else last
@@ -228,9 +228,9 @@ def _position(step) -> int | None:
 
 def cycle_status(tally: Counter | None) -> dict:
     """What a cycle came to, `waiting_for_file`, `up_to_date` or `success`, and its totals over all batches."""
-    report = {"status": "waiting_for_file", "file_exists": False}
+    report = {"status": WAITING, "file_exists": False}
     if tally is not None:
-        report = {"status": "success" if tally["lines_read"] else "up_to_date", "file_exists": True}
+        report = {"status": SUCCESS if tally["lines_read"] else UP_TO_DATE, "file_exists": True}
     totals = tally or Counter()
     return {**{k: totals[k] for k in ("lines_read", "records_inserted", "errors")}, **report}
 

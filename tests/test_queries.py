@@ -21,7 +21,7 @@ def con():
 
 
 def test_every_twin_has_a_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
@@ -29,11 +29,6 @@ def test_matches_sql(spark, con, name):
     assert compare(spark, con, QUERIES[name], SQL[name], SF_DIR) == []
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
-def test_runs_without_sql(spark, name):
-    assert QUERIES[name](spark, SF_DIR).count() > 0
-
-
 def plan(spark, name):
     return QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
 
