@@ -134,6 +134,8 @@ LEDGER_SCHEMA = T.StructType(
         T.StructField("polled_at", T.TimestampType()),
         T.StructField("last_error", T.StringType()),
         T.StructField("last_imported_timestamp", T.StringType()),
-        T.StructField("last_id", T.LongType()),
     ]
 )
+
+# As stored: also the last id given out, so that a start need not look for it in the table.
+STORED_LEDGER_SCHEMA = T.StructType([*LEDGER_SCHEMA.fields, T.StructField("last_id", T.LongType())])

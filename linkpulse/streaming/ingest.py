@@ -27,7 +27,7 @@ from ..operators.ingest import (
     strict_times,
 )
 from ..operators.ledger import ingest_status
-from ..schema import ERROR, LEDGER_SCHEMA, REJECT_SCHEMA, SUCCESS, UP_TO_DATE, WAITING
+from ..schema import ERROR, REJECT_SCHEMA, STORED_LEDGER_SCHEMA, SUCCESS, UP_TO_DATE, WAITING
 from ..session import require_utc
 from ..sources.log import number_rows
 from ..sources.paths import file_size
@@ -38,7 +38,7 @@ from .states import LatestStates
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """All ledger rows, of rolled-up and of open batches; none if nothing was ingested yet."""
-    return read_batches(spark, path, LEDGER_SCHEMA)
+    return read_batches(spark, path, STORED_LEDGER_SCHEMA)
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +53,7 @@ def roll_up_closed_days(spark: SparkSession, sink: IngestSink, before: date | No
     """
     closed = closed_batches(read_ledger(spark, sink.ledger), before)
     gone = roll_up(spark, sink.rejects, REJECT_SCHEMA, closed) if sink.rejects else 0
-    return gone + roll_up(spark, sink.ledger, LEDGER_SCHEMA, closed)
+    return gone + roll_up(spark, sink.ledger, STORED_LEDGER_SCHEMA, closed)
 
 
 def with_arrival_id(lines: DataFrame, first_id: int) -> DataFrame:
@@ -165,7 +165,7 @@ class IngestSink:
             (ingest_id, batch_id, facts["lines_read"], inserted, facts["errors"], None,
              facts["last_error"], facts["last_imported_timestamp"], self.next_id - 1)
         ]
-        row = spark.createDataFrame(values, LEDGER_SCHEMA)
+        row = spark.createDataFrame(values, STORED_LEDGER_SCHEMA)
         row.withColumn("polled_at", F.current_timestamp()).coalesce(1).write.mode(
             "overwrite"
         ).parquet(f"{self.ledger}/run={run}/batch={batch_id}")
@@ -266,7 +266,7 @@ def record_failure(spark: SparkSession, sink: IngestSink, run: str, error: str)
     """A ledger row for a cycle that failed: one error and its text."""
     name = f"failed-{uuid.uuid4().hex}"
     values = [(f"{run}/{name}", None, 0, 0, 1, None, error, None, None)]
-    row = spark.createDataFrame(values, LEDGER_SCHEMA).withColumn("polled_at", F.current_timestamp())
+    row = spark.createDataFrame(values, STORED_LEDGER_SCHEMA).withColumn("polled_at", F.current_timestamp())
     row.coalesce(1).write.mode("overwrite").parquet(f"{sink.ledger}/run={run}/batch={name}")
 
 

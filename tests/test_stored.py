@@ -207,7 +207,7 @@ def test_closed_days_are_rolled_up(spark, tmp_path, monkeypatch):
     from datetime import date
 
     from linkpulse.operators.ledger import ingest_status
-    from linkpulse.schema import LEDGER_SCHEMA
+    from linkpulse.schema import STORED_LEDGER_SCHEMA
     from linkpulse.streaming import rollup
     from linkpulse.streaming.ingest import IngestSink, read_ledger, read_rejects, roll_up_closed_days
     from linkpulse.schema import REJECT_SCHEMA
@@ -221,7 +221,7 @@ def test_closed_days_are_rolled_up(spark, tmp_path, monkeypatch):
         ledger = ids.select(name.alias("ingest_id"), F.col("id").alias("batch_id"), F.lit(5).cast("long").alias("lines_read"), F.lit(3).cast("long").alias("inserted"), F.lit(2).cast("long").alias("errors"),
                             F.lit(f"{day} 10:00:00").cast("timestamp").alias("polled_at"), F.lit("e").alias("last_error"), F.lit("t").alias("last_imported_timestamp"), F.col("id").alias("last_id"))
         rejects = ids.select(F.lit("v").alias("value"), F.lit("f").alias("src_file"), F.struct(F.col("id").alias("block"), F.lit(0).cast("long").alias("row")).alias("src_pos"), F.lit("r").alias("reject_reason"), name.alias("ingest_id"))
-        for df, schema, to in ((ledger, LEDGER_SCHEMA, sink.ledger), (rejects, REJECT_SCHEMA, sink.rejects)):
+        for df, schema, to in ((ledger, STORED_LEDGER_SCHEMA, sink.ledger), (rejects, REJECT_SCHEMA, sink.rejects)):
             own = df.select(*schema.names).withColumns({"run": F.lit("q"), "batch": F.substring_index("ingest_id", "/", -1)})
             own.coalesce(1).write.mode("append").partitionBy("run", "batch").parquet(to)
 
