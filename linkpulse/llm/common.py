@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Scratch folders made so far, by application.
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,7 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used yet."""
-    return f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def scratch(spark: SparkSession) -> list[str]:
+    """The folders that `new_folder` has named so far and `drop_scratch` has not removed."""
+    return list(_MADE.get(spark.sparkContext.applicationId, []))
+
+
+def drop_scratch(spark: SparkSession, folders: list[str]) -> None:
+    """Removes scratch folders that nothing reads any more."""
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in made:
+            made.remove(folder)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
