@@ -12,7 +12,8 @@ DataFrame functions only. The steps:
 4. A tree over the output shards splits the drawn blocks: at each node the number of blocks of each source that go
    left is a draw from the multivariate hypergeometric distribution, so that the shards are what cutting a
    random order of all drawn blocks would give, while every quota stays exact.
-5. A shard takes the next blocks of each source's permutation, and shuffles its documents by another hash.
+5. A shard takes the next blocks of each source's permutation, and shuffles its documents by another hash. How often a
+   document is taken is how many of its blocks' places the shards got.
 
 Reruns agree: all randomness comes from hashes of the seed and of `doc_id` and text.
 
@@ -275,13 +276,28 @@ def taken(rows: DataFrame, quotas: DataFrame, picks: DataFrame) -> DataFrame:
     return r.withColumn("copies", copies).drop("__s", "__h", "__z", "passes", "cut")
 
 
-def mix_sizes(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    slim = stored(sized(docs.select("doc_id", "source", "text")).select("doc_id", "__mix.*"), "sizes")
+def block_shards(quotas: DataFrame, where: DataFrame) -> DataFrame:
+    """`(source, block, got)`: in which pass and by which shard each block is drawn, a list of MOST_COPIES at most."""
+    of = join_source(where, quotas, "blocks")
+    drawn = F.struct(F.floor(F.col("place") / F.col("blocks")).cast("long").alias("copy"), "shard")
+    return of.groupBy("source", F.pmod("place", "blocks").alias("block")).agg(F.array_sort(F.collect_list(drawn)).alias("got"))
+
+
+def mix_sizes(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken (words, repeats counted), and the shards that take it as text.
+
+    A document is taken as often as the tree has given its block to shards.
+    """
+    slim = stored(sized(docs.select("doc_id", "source", "text"), seed).select("doc_id", "__mix.*"), "sizes")
     quotas, picks = plan(slim)
-    return taken(slim, quotas, picks).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    where = places(quotas, split_tree(quotas, shards or shards_for(quotas), seed))
+    blocks = stored(block_shards(quotas, where), "block-shards").select(F.col("source").alias("__s"), F.col("block").alias("__b"), "got")
+    rows = taken(slim, quotas, picks)
+    rows = rows.join(blocks, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left")
+    own = F.filter(F.coalesce("got", F.array().cast("array<struct<copy:bigint,shard:bigint>>")), lambda x: x["copy"] < F.col("copies"))
+    rows = rows.withColumn("own", own)
+    text = F.concat_ws(",", F.transform("own", lambda x: x["shard"].cast("string")))
+    return rows.select("doc_id", "size", "source_size", "target", (F.size("own") * F.col("size")).alias("taken"), text.alias("shards"))
 
 
 def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:

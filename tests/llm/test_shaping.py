@@ -62,7 +62,7 @@ def filled(sizes, weights, share=1.5):
 
 
 def check_mix(rows, got):
-    sources = {r[0]: r[3] for r in rows}
+    sources, texts = {r[0]: r[3] for r in rows}, {r[0]: len((r[1] or "").encode().split()) for r in rows}
     size = lambda t: len((t or "").encode().split())
     own = defaultdict(int)
     for r in rows:
@@ -72,8 +72,9 @@ def check_mix(rows, got):
     taken = defaultdict(int)
     for r in got:
         s = sources[r.doc_id] if r.doc_id is not None else next(k for k, v in own.items() if v == r.source_size)
-        assert r.source_size == own[s] and r.target == pytest.approx(want[s]) and r["size"] <= r.taken * 1 + r["size"]
-        assert r.taken in (0, r["size"], 2 * r["size"])
+        assert r.source_size == own[s] and r.target == pytest.approx(want[s])
+        assert r["size"] == texts[r.doc_id] if r.doc_id is not None else True
+        assert r.taken in (0, r["size"], 2 * r["size"]) and r.taken == r["size"] * len([x for x in r.shards.split(",") if x])
         taken[s] += r.taken
     return {s: (want[s], taken[s]) for s in order}
 
@@ -103,12 +104,24 @@ def test_many_blocks(spark, monkeypatch):
     for want, taken in check_mix(rows, mixing.mix_sizes(docs).collect()).values():
         assert abs(want - taken) <= 40
     out = mixing.mix(docs, shards=4)
+    # the shards that the sizes name are those that the documents are in
+    named = sorted((r.doc_id, x) for r in mixing.mix_sizes(docs, shards=4).collect() for x in r.shards.split(",") if x)
+    assert named == sorted((r.doc_id, str(r["__shard"])) for r in out.collect())
     counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     sizes = {r.doc_id: r for r in mixing.mix_sizes(docs).collect()}
     assert {i: r.taken // r["size"] for i, r in sizes.items() if r.taken} == counts
     assert out.select("__shard").distinct().count() == 4 and out.drop("__shard").columns == docs.columns
 
 
+def test_sizes_come_from_the_tree(spark, monkeypatch):
+    """A tree that loses a block loses its words."""
+    rows = [(i, prose(i, 30), "en", "s0") for i in range(40)]
+    whole = mixing.mix_sizes(frame(spark, rows)).agg(F.sum("taken")).first()[0]
+    places = mixing.places
+    monkeypatch.setattr(mixing, "places", lambda quotas, parts: places(quotas, parts).filter("place > 0"))
+    assert mixing.mix_sizes(frame(spark, rows)).agg(F.sum("taken")).first()[0] < whole
+
+
 def test_splitting_keeps_quotas(spark):
     goal = spark.createDataFrame([("a", 3, 10, 1, 0.0, 50), ("b", 0, 7, 2, 1.0, 9), (None, 1, 4, 0, 0.0, 5)], "source string, passes long, blocks long, cut long, missing double, source_size long")
     parts = mixing.split_tree(goal, 8).collect()
