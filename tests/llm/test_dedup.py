@@ -61,6 +61,34 @@ def test_large_families_in_blocks(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(rows, 2).items()}
 
 
+def test_a_block_returns_a_forest():
+    """Thousands of mutually near sets of labels of their own in one block: fewer links than labels."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 40, 60)
+    sets = []
+    for _ in range(1500):
+        own = base.copy()
+        own[rng.integers(0, 60)] = rng.integers(0, 1 << 40)
+        sets.append(np.unique(own))
+    n = len(sets)
+    at = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))
+    one = {"node": pa.array(range(n), pa.int64()), "label": pa.array(range(n), pa.int64()), "s": lists}
+    t = pa.concat_tables([pa.table({"side": pa.array([side] * n, pa.int32()), **one}) for side in (0, 1)]).combine_chunks()
+    got = near_dedup._block(80)(t)
+    assert len(got) == n - 1
+    least = list(range(n))
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True):
+        least[max(root(a), root(b))] = min(root(a), root(b))
+    assert {root(x) for x in range(n)} == {0}
+
+
 def test_keep_one(spark, odd):
     kept = near_dedup.keep_one(odd)
     assert kept.columns == odd.columns

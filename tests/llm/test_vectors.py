@@ -255,9 +255,9 @@ def chain(n=400, width=8):
 
 def test_lists_grow_and_balls_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "LIST", 5)
-    monkeypatch.setattr(near_vectors, "BLOCK", 7)
-    monkeypatch.setattr(near_vectors, "HUB", 16)
-    rows = chain(60)
+    monkeypatch.setattr(near_vectors, "BLOCK", 3)
+    monkeypatch.setattr(near_vectors, "HUB", 8)
+    rows = chain(40)
     got = near_vectors.near_vectors(frame(spark, rows))
     assert linked(got) == brute_links(rows)
 
