@@ -16,13 +16,15 @@ results. An empty table gives an empty result; without labels of both classes no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import stored, text_of
 from .held_out import held_out, labelled_sample
 from .pieces import pieces, word_ranges
 from .words import LOWER, flat, prefix_hashes, range_hashes
@@ -108,53 +110,102 @@ def fit_ordinal(row: np.ndarray, ids: np.ndarray, count: np.ndarray, words: np.n
     n, positive = len(toxic), toxic.astype(bool)
     if not n or positive.all() or not positive.any():
         return Ordinal(np.zeros(0, np.int64), np.zeros(0), np.array([3.0, 5.0, 7.0]))
-    names, at = np.unique(ids, return_inverse=True)
-    with_toxic = np.bincount(at[positive[row]], minlength=len(names))
-    with_clean = np.bincount(at[~positive[row]], minlength=len(names))
-    p, q = (with_toxic + 0.5) / (positive.sum() + 1), (with_clean + 0.5) / ((~positive).sum() + 1)
+    size = 1 << FEATURE_BITS
+    with_toxic, with_clean = (np.bincount(ids[of[row]], minlength=size) for of in (positive, ~positive))
+    kept, strong = telling(np.arange(size), with_toxic, with_clean, int(positive.sum()), int((~positive).sum()))
+    use = np.isin(ids, kept)
+    return fit_kept(kept, strong, row[use], ids[use], count[use], words, toxic, weight)
+
+
+def telling(names: np.ndarray, with_toxic: np.ndarray, with_clean: np.ndarray, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """The MOST_FEATURES most telling features in order, and which of them are frequent in toxic and rare in clean documents.
+
+    `names` in order, with the number of toxic and of clean training documents that each is in.
+    """
+    p, q = (with_toxic + 0.5) / (toxic + 1), (with_clean + 0.5) / (clean + 1)
     tell = np.where(with_toxic >= LEAST_DOCS, p * np.log(p / q), -1)
     good = np.flatnonzero((tell > 0) & (p / q > LEAST_RATIO))
     good = np.sort(good[np.argsort(-tell[good], kind="stable")[:MOST_FEATURES]])
-    place = np.full(len(names), -1)
-    place[good] = np.arange(len(good))
-    col = place[at]
-    use = col >= 0
-    r, c, v = row[use], col[use], np.log1p(np.minimum(count[use], MOST_TIMES))
-    strong = (p / q > 8)[good]
-    share = np.bincount(r, weights=np.minimum(count[use], 50) * strong[c], minlength=n) / np.maximum(words, 1)
+    return names[good], (p / q > 8)[good]
+
+
+def fit_kept(kept: np.ndarray, strong: np.ndarray, row: np.ndarray, ids: np.ndarray, count: np.ndarray, words: np.ndarray, toxic: np.ndarray, weight: np.ndarray | None) -> Ordinal:
+    """Grades, weights and thresholds from the kept features of each row."""
+    n, positive = len(toxic), toxic.astype(bool)
+    r, c, v = row, np.searchsorted(kept, ids), np.log1p(np.minimum(count, MOST_TIMES))
+    share = np.bincount(r, weights=np.minimum(count, 50) * strong[c], minlength=n) / np.maximum(words, 1)
     cuts = np.quantile(share[positive], [1 / 3, 2 / 3])
     grade = np.where(positive, 1 + (share[:, None] > cuts[None, :]).sum(axis=1), 0)
     above = (grade[:, None] > np.arange(GRADES)[None, :]).astype(float)
     weight = np.ones(n) if weight is None else np.asarray(weight, np.float64)
     total, of_positive = weight.sum(), weight[positive].sum()
     balance = np.where(positive, 0.5 / (of_positive / total), 0.5 / ((total - of_positive) / total))[:, None] ** 0.5 * weight[:, None]
-    w, base, gaps = np.zeros(len(good)), 1.0, np.zeros(GRADES - 1)
-    state = [np.zeros(len(good) + GRADES) for _ in range(2)]
+    size = len(kept)
+    w, base, gaps = np.zeros(size), 1.0, np.zeros(GRADES - 1)
+    state = [np.zeros(size + GRADES) for _ in range(2)]
     for step in range(1, EPOCHS + 1):
         theta = base + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
         score = np.bincount(r, weights=w[c] * v, minlength=n)
         g = (1 / (1 + np.exp(-np.clip(score[:, None] - theta[None, :], -50, 50))) - above) * balance / total
-        gw = np.bincount(c, weights=g.sum(axis=1)[r] * v, minlength=len(good)) + DECAY * w / max(1, len(good)) ** 0.5
+        gw = np.bincount(c, weights=g.sum(axis=1)[r] * v, minlength=size) + DECAY * w / max(1, size) ** 0.5
         gt = -g.sum(axis=0)
         grad = np.concatenate((gw, [gt.sum()], np.cumsum(gt[::-1])[::-1][1:] * np.exp(gaps)))
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.999 * state[1] + 0.001 * grad * grad
         move = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
-        w, base, gaps = w - move[: len(good)], base - move[len(good)], gaps - move[len(good) + 1 :]
-    return Ordinal(names[good], w, base + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
+        w, base, gaps = w - move[:size], base - move[size], gaps - move[size + 1 :]
+    return Ordinal(kept, w, base + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and clean documents of a task each feature is; at most 2**FEATURE_BITS rows."""
+    found = np.zeros((2, 1 << FEATURE_BITS), np.int64)
+    for b in batches:
+        for ids, y in zip(b["ids"].to_pylist(), b["y"].to_pylist(), strict=True):
+            found[y][np.frombuffer(ids, np.uint32)] += 1
+    names = np.flatnonzero(found.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(found[1][names]), pa.array(found[0][names])], ["name", "toxic", "clean"])
+
+
+def _only(kept: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's kept features alone."""
+        for b in batches:
+            out = []
+            for ids, counts in zip(b["ids"].to_pylist(), b["counts"].to_pylist(), strict=True):
+                ids, counts = np.frombuffer(ids, np.uint32), np.frombuffer(counts, np.uint16)
+                use = np.isin(ids, kept)
+                out.append((ids[use].tobytes(), counts[use].tobytes()))
+            lists = [pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *lists, b["words"], b["y"], b["weight"]], ["doc_id", "ids", "counts", "words", "y", "weight"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
-    """The model of at most `sample` labelled documents of each class."""
+    """The model of at most `sample` labelled documents of each class.
+
+    Their features stay in Spark: document frequencies are added up there, and only the kept features come to the driver.
+    """
     chosen = labelled_sample(labels, "toxic", sample)
     own = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
     own = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("weight").alias("weight"))
-    rows = sorted(own.select("doc_id", _sparse("text").alias("x"), "y", "weight").collect(), key=lambda r: r["doc_id"])
-    ids = [np.frombuffer(r["x"]["ids"], np.uint32).astype(np.int64) for r in rows]
-    counts = [np.frombuffer(r["x"]["counts"], np.uint16).astype(np.int64) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in ids])
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return fit_ordinal(row, join(ids), join(counts), np.array([r["x"]["words"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.int64), np.array([r["weight"] for r in rows]))
+    rows = stored(own.select("doc_id", _sparse("text").alias("x"), "y", "weight").select("doc_id", "x.*", "y", "weight"), "features")
+    n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    toxic, clean = n.get(1, 0), n.get(0, 0)
+    if not toxic or not clean:
+        return fit_ordinal(*[np.zeros(0, np.int64)] * 5)
+    each = rows.select("ids", "y").mapInArrow(_frequencies, "name long, toxic long, clean long").groupBy("name")
+    likely = each.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") >= LEAST_DOCS).toArrow().sort_by("name")
+    kept, strong = telling(*(likely[c].to_numpy() for c in ("name", "toxic", "clean")), toxic, clean)
+    kind = dict(rows.dtypes)["doc_id"]
+    slim = rows.mapInArrow(_only(kept), f"doc_id {kind}, ids binary, counts binary, words long, y int, weight double").collect()
+    slim.sort(key=lambda r: r["doc_id"])
+    ids = [np.frombuffer(r["ids"], np.uint32).astype(np.int64) for r in slim]
+    row = np.repeat(np.arange(len(slim)), [len(x) for x in ids])
+    counts = np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in slim]).astype(np.int64)
+    words, y, weight = (np.array([r[c] for r in slim]) for c in ("words", "y", "weight"))
+    return fit_kept(kept, strong, row, np.concatenate(ids), counts, words, y, weight)
 
 
 _RESULT = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("grade", T.IntegerType())])
