@@ -48,13 +48,21 @@ def drop_scratch(spark: SparkSession, folders: list[str]) -> None:
             made.remove(folder)
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int | None = None) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read back.
 
-    Cuts the lineage: what follows reads the files, so a lost executor costs no recomputation of `df`.
+    Cuts the lineage: what follows reads the files, so a lost executor costs no recomputation of `df`. With `batch_rows`,
+    Python functions get batches of so many rows at most, so that a worker holds fewer texts at a time.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    conf, most = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(most)
+    if batch_rows:
+        conf.set(most, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.set(most, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
