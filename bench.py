@@ -26,7 +26,7 @@ HEADLINE = (
     "router_stats_rollup", "registry_view", "ingest_valid",
     "dedup_first_arrival", "insert_or_ignore", "fault_asof", "fault_overlay", "fault_episodes",
     "classify_fault", "alerts", "kpis", "risk", "link_status", "perf_series_hourly",
-    "perf_series_sliding",
+    "perf_series_sliding", "stored_latest_n", "stored_recent_window", "stored_router_history", "stored_stats_week",
 )
 RUNS = 3
 ENOUGH_SECONDS = 2.0
