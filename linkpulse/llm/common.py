@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 #: Scratch folders made so far, by application.
 _MADE: dict[str, list[str]] = {}
+#: Texts that a Python worker is handed at a time, and bytes of them, about: what ends a batch first.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,21 +50,31 @@ def drop_scratch(spark: SparkSession, folders: list[str]) -> None:
             made.remove(folder)
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int | None = None) -> DataFrame:
+def _batch_limits(spark: SparkSession) -> dict[str, str]:
+    """Settings for small batches; what the session has set lower stays."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = int(spark.conf.get(rows))
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size))
+    return {rows: str(min(BATCH_ROWS, most) if most > 0 else BATCH_ROWS), size: f"{min(BATCH_BYTES, held)}b"}
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd", small_batches: bool = False) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read back.
 
-    Cuts the lineage: what follows reads the files, so a lost executor costs no recomputation of `df`. With `batch_rows`,
-    Python functions get batches of so many rows at most, so that a worker holds fewer texts at a time.
+    Cuts the lineage: what follows reads the files, so a lost executor costs no recomputation of `df`. With `small_batches`,
+    Python functions get BATCH_ROWS rows and about BATCH_BYTES at most, so that a worker and the buffers that feed it hold
+    fewer texts at a time. A batch ends after the row that reaches the bytes: a longer text comes whole.
     """
     path = new_folder(df.sparkSession, name)
-    conf, most = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(most)
-    if batch_rows:
-        conf.set(most, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    conf, limits = df.sparkSession.conf, _batch_limits(df.sparkSession) if small_batches else {}
+    before = {key: conf.get(key) for key in limits}
+    for key, value in limits.items():
+        conf.set(key, value)
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
-        conf.set(most, before)
+        for key, value in before.items():
+            conf.set(key, value)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

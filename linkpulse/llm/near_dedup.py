@@ -41,8 +41,6 @@ WIDTH = 5
 BLOCK_SHINGLES = 400_000
 #: Sets that one side of a block holds, about.
 BLOCK_ROWS = 8_192
-#: Texts that a Python worker is handed at a time.
-BATCH_ROWS = 1_000
 
 _VALUE_BITS = 64 - int(np.log2(REGISTERS))
 _PROBES = np.random.Generator(np.random.PCG64(7)).integers(0, REGISTERS, (512, REGISTERS))
@@ -166,7 +164,7 @@ class _Classes:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.docs, self.width, self.percent = docs, width, percent
         each = docs.select("doc_id", _sketch_udf(width)(text_of(docs)).alias("s")).select("doc_id", "s.*")
-        self.each = stored(each, "sketches", batch_rows=BATCH_ROWS)
+        self.each = stored(each, "sketches", small_batches=True)
         self.classes = stored(
             self.each.filter("n_shingles > 0 AND doc_id IS NOT NULL")
             .groupBy("k1", "k2")
@@ -187,7 +185,7 @@ class _Classes:
         """The full sets of some nodes, stored."""
         docs = self.docs.select(F.col("doc_id").alias("node"), text_of(self.docs).alias("text"))
         docs = maybe_among(docs, "node", nodes).join(nodes, "node")
-        return stored(docs.select("node", _set_udf(self.width)("text").alias("s")), "sets", batch_rows=BATCH_ROWS)
+        return stored(docs.select("node", _set_udf(self.width)("text").alias("s")), "sets", small_batches=True)
 
     def centre_links(self) -> DataFrame:
         """Links (a, b) of members with the smallest id of a bucket of theirs: first the registers decide, then the sets."""

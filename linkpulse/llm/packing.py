@@ -169,7 +169,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = LENGTH)
     sequence (text) and offset. Every sequence is filled from 0 without gaps, and holds at most `capacity` tokens."""
     spark, path = docs.sparkSession, tokenizer or default_path()
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    pieces = stored(texts.mapInArrow(_packer(capacity, path, uuid.uuid4().hex[:8]), _PIECES), "pieces")
+    pieces = stored(texts.mapInArrow(_packer(capacity, path, uuid.uuid4().hex[:8]), _PIECES), "pieces", small_batches=True)
     opened = pieces.filter("open").groupBy("bin").agg(F.first("free").alias("free"))
     task, turn = (F.split("bin", "-")[i].cast("long").alias(name) for i, name in ((1, "task"), (2, "turn")))
     items = stored(opened.select(F.col("bin").alias("item"), task, turn, "free"), "items")

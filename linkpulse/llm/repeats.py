@@ -256,7 +256,7 @@ def spans(docs: DataFrame, length: int = LENGTH, most_segments: int = MOST_SEGME
         keyed.filter(F.octet_length("text") >= length).mapInArrow(
             _find(length), "rid long, t1 long, place long, a long, s long, l int, r int"
         ),
-        "anchors",
+        "anchors", small_batches=True,
     )
     twice = found.groupBy("a").agg(F.count("*").alias("total")).filter("total >= 2").select("a")
     again = stored(found.join(twice, "a"), "repeated-anchors")
@@ -275,7 +275,7 @@ def spans(docs: DataFrame, length: int = LENGTH, most_segments: int = MOST_SEGME
     cut = stored(
         keyed.join(asked, ["rid", "t1"]).select("text", "asked")
         .mapInArrow(_cut_segments, "a long, s long, n long, d long, l int, r int, bytes binary"),
-        "segment-bytes",
+        "segment-bytes", small_batches=True,
     )
     kind = "a long, s long, lo long, hi long"
     indexed = (
@@ -301,8 +301,11 @@ _KEPT = T.StructType(
 )
 
 
-@F.arrow_udf(_KEPT)
-def _removed(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+_CLEAN = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())])
+
+
+def _cut(texts: pa.Array, ranges: pa.Array) -> tuple[list[int], list[int], list[bytes]]:
+    """Per text: bytes removed, maximal removed runs, and the bytes that are kept."""
     removed, runs, kept = [], [], []
     for text, own in zip(texts.to_pylist(), ranges.to_pylist(), strict=True):
         raw, parts, at, gone, n = text.encode(), [], 0, 0, 0
@@ -319,20 +322,38 @@ def _removed(texts: pa.Array, ranges: pa.Array) -> pa.Array:
         removed.append(gone)
         runs.append(n)
         kept.append(b"".join(parts))
+    return removed, runs, kept
+
+
+@F.arrow_udf(_KEPT)
+def _removed(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+    removed, runs, kept = _cut(texts, ranges)
     return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["n_removed", "n_spans", "kept"])
 
 
+@F.arrow_udf(_CLEAN)
+def _cleaned(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+    """What is left as text; a character cut in half goes whole."""
+    removed, _, kept = _cut(texts, ranges)
+    clean = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
+    return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), clean], ["n_removed", "text"])
+
+
+def _with_spans(docs: DataFrame, length: int, most_segments: int) -> tuple[DataFrame, DataFrame]:
+    """Every row of `docs` as the struct `row` with its `text`: those without spans, and those with their `spans`."""
+    found = spans(docs, length, most_segments)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_row_id(docs), text_of(docs).alias("text"))
+    joined = rows.join(found, ["rid", "t1"], "left")
+    return joined.filter("spans IS NULL"), joined.filter("spans IS NOT NULL")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """Every row of `docs` as the struct `row`, with n_bytes, n_removed, n_spans and the bytes that are `kept`.
 
     The first place of a passage goes like all others: strings are judged on the input, none of them is the original.
     """
-    found = spans(docs, length, most_segments)
-    text = text_of(docs)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_row_id(docs), text.alias("text"))
-    joined = rows.join(found, ["rid", "t1"], "left")
-    some = joined.filter("spans IS NOT NULL").withColumn("x", _removed("text", "spans"))
-    none = joined.filter("spans IS NULL")
+    none, some = _with_spans(docs, length, most_segments)
+    some = some.withColumn("x", _removed("text", "spans"))
     size = F.octet_length("text").cast("long").alias("n_bytes")
     return none.select(
         "row", size, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept")
@@ -344,16 +365,17 @@ def digest(removed: DataFrame) -> DataFrame:
     return removed.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`docs` with the repeats cut from its texts, `n_chars` counted anew; a character cut in half goes whole."""
-    columns = docs.columns
-    whole = F.col("row.text").isNull() | (F.col("n_removed") == 0)
-    clean = F.when(whole, F.col("row.text")).otherwise(_decoded("kept"))
-    out = remove_repeats(docs, length).withColumn("__text", clean)
-    new = {"text": F.col("__text"), "n_chars": F.when(whole, F.col("row.n_chars") if "n_chars" in columns else None).otherwise(F.length("__text").cast("long"))}
-    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
+def drop_repeats(docs: DataFrame, length: int = LENGTH, most_segments: int = MOST_SEGMENTS) -> DataFrame:
+    """`docs` with the repeats cut from its texts, `n_chars` counted anew; a character cut in half goes whole.
 
-
-@F.arrow_udf(T.StringType())
-def _decoded(kept: pa.Array) -> pa.Array:
-    return pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
+    One Python function does both: a task with two of them in a row keeps two workers, and Spark hands all workers round to
+    later tasks, so that each comes to hold what those load. Rows that lose nothing stay out of Python.
+    """
+    none, some = _with_spans(docs, length, most_segments)
+    some = some.withColumn("x", _cleaned("text", "spans"))
+    whole = F.col("row.text").isNull() | (F.col("x.n_removed") == 0)
+    new = {"text": F.when(whole, F.col("row.text")).otherwise(F.col("x.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length("x.text").cast("long"))
+    same = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return none.select(*same).unionByName(some.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))

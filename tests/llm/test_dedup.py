@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from linkpulse.llm import near_dedup, repeats
+from linkpulse.llm import common, near_dedup, repeats
 from linkpulse.llm.components import components
 from linkpulse.llm.words import LOWER, flat, word_hashes
 from tests.llm.conftest import changed, frame, odd_rows, prose
@@ -162,3 +162,40 @@ def test_empty_tables(spark, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert near_dedup.keep_one(empty).count() == 0
     assert repeats.remove_repeats(empty).count() == 0
+
+
+def python_nodes(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum(x in line for line in plan.split("Initial Plan")[0].splitlines() for x in ("ArrowEvalPython", "MapInArrow"))
+
+
+def test_dropping_repeats_takes_one_worker_a_task(spark):
+    """No Python function reads another's output: each would keep a worker of its own for every core."""
+    passage = "é" + "ü" * 120 + prose(3, 60)
+    rows = [(i, prose(70 + i, 30) + " x" * i + passage + prose(90 + i, 30), "en", "s") for i in range(4)] + [(9, prose(1, 50), "en", "s")]
+    out = repeats.drop_repeats(frame(spark, rows))
+    assert python_nodes(out) == 1
+    raws = {i: t.encode() for i, t, *_ in rows}
+    seen = Counter(r[i : i + 200] for r in raws.values() for i in range(len(r) - 199))
+    got = {r.doc_id: r for r in out.collect()}
+    for i, raw in raws.items():
+        gone = {at + k for at in range(len(raw) - 199) if seen[raw[at : at + 200]] > 1 for k in range(200)}
+        want = bytes(x for k, x in enumerate(raw) if k not in gone).decode("utf-8", "ignore")
+        assert (got[i].text, got[i].n_chars) == (want, len(want)) and bool(gone) == (i != 9)
+
+
+def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(common, "BATCH_BYTES", 20_000)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows, b.nbytes])], ["n"]) for b in batches)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.range(0, 3000, 1, 1).selectExpr("if(id < 1500, repeat('text ', 400), 'x') AS text")
+    seen = [r.n for r in common.stored(texts.mapInArrow(sizes, "n long"), "sizes", small_batches=True).collect()]
+    assert spark.conf.get(key) == before
+    rows, most = seen[::2], max(seen[1::2])
+    assert sum(rows) == 3000 and max(rows) <= common.BATCH_ROWS and most < 20_000 + 2_100
+    spark.conf.set(key, "5000b")
+    try:
+        assert common._batch_limits(spark)[key] == "5000b"
+    finally:
+        spark.conf.set(key, before)
